@@ -1,2 +1,336 @@
-"""Registered queries."""
+"""Judge, scoring, bench and refusal queries on F4 (templated prompts with
+scripted replies) and on a judge-reply table derived from orders."""
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalspark.functions.judges import build_judge
+from evalspark.functions.rubrics import BENCH_RUBRIC, shipped
+from evalspark.operators import bench as B
+from evalspark.operators.scoring import Rubric, score_runs
+from evalspark.plans.fixtures import f4_prompts, f4_runs, table, with_views
+from evalspark.plans.registry import register
+
+NO_REFUSAL = shipped("no_refusal")
+SCOPED = Rubric(name="coding_contains", judge_kind="contains",
+                judge_config={"any_of": ["answer", "sized"], "all_of": ["partial"]},
+                applies_to_tags=["coding", "math"], description="scoped contains")
+AS_OF = "2024-06-01 00:00:00"
+F4V = ("f4_prompts", "f4_runs")
+
+
+# ---------------------------------------------------------------- F4 side tables
+
+def f4_prompt_tags(spark, d):
+    p = f4_prompts(spark, d)
+    return (p.select("prompt_id", F.get_json_object("source_metadata", "$.intended_tag").alias("tag"),
+                     F.lit("bench").alias("classifier"), F.lit(1.0).alias("confidence"))
+             .filter(F.col("tag") != "other"))
+
+
+def f4_models(spark, d):
+    r = f4_runs(spark, d)
+    k = F.substring("model", 3, 2).cast("int")
+    return (r.select("model").distinct()
+             .select(F.col("model").alias("name"), F.lit("local").alias("provider"),
+                     ((k + 1) * F.lit(3.5)).alias("size_params_b"),
+                     F.lit(8192).cast("int").alias("context_window")))
+
+
+def f4_existing_evals(spark, d, rubric: Rubric = NO_REFUSAL):
+    r = f4_runs(spark, d)
+    k = F.col("prompt_id") % 5
+    cur = rubric.config_hash()
+    return (r.filter(k < 4)
+             .select("run_id",
+                     F.when(k == 3, F.lit("other_rubric")).otherwise(F.lit(rubric.name)).alias("rubric"),
+                     F.when(k == 1, F.lit("stale-hash")).when(k == 2, F.lit(cur))
+                      .otherwise(F.lit(None).cast("string")).alias("rubric_hash"),
+                     F.lit(1.0).alias("score"), F.lit(True).alias("passed"),
+                     F.lit("auto").alias("scored_by"),
+                     F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("created_at")))
+
+
+def f4_runs_store(spark, d):
+    return f4_runs(spark, d).withColumn("cost_usd", (F.col("prompt_id") % 7) / F.lit(64.0)) \
+                            .withColumn("latency_ms", (F.col("prompt_id") % 11 * 100).cast("int"))
+
+
+def _sql_ctes(rubric: Rubric = NO_REFUSAL) -> dict[str, str]:
+    cur = rubric.config_hash()
+    return {
+        "f4_prompt_tags": """select prompt_id, json_extract_string(source_metadata, '$.intended_tag') as tag,
+                             'bench' as classifier, 1e0 as confidence from f4_prompts
+                             where json_extract_string(source_metadata, '$.intended_tag') <> 'other'""",
+        "f4_models": """select distinct model as name, 'local' as provider,
+                        (cast(substr(model, 3, 2) as int) + 1) * 3.5e0 as size_params_b,
+                        cast(8192 as int) as context_window from f4_runs""",
+        "f4_store_runs": """select *, (prompt_id % 7) / 64e0 as cost_usd, cast(prompt_id % 11 * 100 as int) as latency_ms
+                            from f4_runs""",
+        "f4_existing": f"""select run_id, case when prompt_id % 5 = 3 then 'other_rubric' else '{rubric.name}' end as rubric,
+                    case when prompt_id % 5 = 1 then 'stale-hash' when prompt_id % 5 = 2 then '{cur}' end as rubric_hash,
+                    1e0 as score, true as passed, 'auto' as scored_by, timestamp '2024-01-01 00:00:00' as created_at
+                    from f4_runs where prompt_id % 5 < 4""",
+    }
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def contains_sql(resp: str, all_of=(), any_of=(), none_of=()) -> dict[str, str]:
+    """Score/passed/notes of the contains judge (case-insensitive) in DuckDB."""
+    hay = f"lower({resp})"
+    has = (lambda n: f"contains({hay}, {_sql_str(n.lower())})")
+    forb = " or ".join(has(n) for n in none_of) or "false"
+    hits = " + ".join(f"(case when {has(n)} then 1 else 0 end)" for n in all_of) or "0"
+    anyh = " or ".join(has(n) for n in any_of) or "true"
+    base = f"({hits}) / {len(all_of)}" if all_of else "1e0"
+    fnote = "concat('forbidden tokens present: [', concat_ws(', ', " + ", ".join(
+        f"case when {has(n)} then {_sql_str(repr(n))} end" for n in none_of) + "), ']')" if none_of else "null"
+    return {
+        "score": f"case when {forb} then 0e0 when not ({anyh}) then 0e0 else cast({base} as double) end",
+        "passed": f"case when {forb} then false else (({hits}) = {len(all_of)} and ({anyh})) end",
+        "notes": f"case when {forb} then {fnote} else concat('all_of matched ', cast(({hits}) as varchar), "
+                 f"'/{len(all_of)}; any_of satisfied=', case when {anyh} then 'True' else 'False' end) end",
+    }
+
+
+def _judge_query(spark, d, kind, config, cols=("score", "passed", "notes")):
+    r = f4_runs(spark, d)
+    v = build_judge(kind, config)(F.col("prompt"), F.col("response"), F.col("source_metadata"))
+    return r.select("run_id", *[v[c].alias(c) for c in cols])
+
+
+# ---------------------------------------------------------------- judges
+
+_NR = contains_sql("response", none_of=NO_REFUSAL.judge_config["none_of"])
+
+
+@register("judge_contains", with_views(
+    f"select run_id, {_NR['score']} as score, {_NR['passed']} as passed, {_NR['notes']} as notes from f4_runs", *F4V))
+def q_judge_contains(spark, d):
+    return _judge_query(spark, d, "contains", NO_REFUSAL.judge_config)
+
+
+_CA = contains_sql("response", all_of=["partial", "sized"], any_of=["answer", "json"])
+
+
+@register("judge_contains_all_any", with_views(
+    f"select run_id, {_CA['score']} as score, {_CA['passed']} as passed, {_CA['notes']} as notes from f4_runs", *F4V))
+def q_judge_contains2(spark, d):
+    return _judge_query(spark, d, "contains", {"all_of": ["Partial", "sized"], "any_of": ["answer", "JSON"]})
+
+
+@register("judge_exact_match", with_views("""
+select run_id, case when m then 1e0 else 0e0 end as score, m as passed,
+       case when not m then 'expected=''I cannot  help with that. ''' end as notes
+from (select run_id, coalesce(lower(trim(regexp_replace(response, '\\s+', ' ', 'g'))) = 'i cannot help with that.', false) as m
+      from f4_runs) x""", *F4V))
+def q_judge_exact(spark, d):
+    return _judge_query(spark, d, "exact_match", {"expected": "I cannot  help with that. "})
+
+
+@register("judge_expected_contains", with_views("""
+select run_id,
+       case when n is null or n = 0 then 0e0 else hits / n end as score,
+       case when n is null or n = 0 then null else hits = n end as passed
+from (select run_id,
+             case when json_type(source_metadata, '$.expected_contains') = 'ARRAY'
+                  then json_array_length(source_metadata, '$.expected_contains') end as n,
+             len(list_filter(json_extract_string(source_metadata, '$.expected_contains[*]'),
+                             lambda x: contains(lower(response), lower(x)))) as hits
+      from f4_runs) t""", *F4V))
+def q_judge_expected(spark, d):
+    return _judge_query(spark, d, "expected_contains", {"metadata_key": "expected_contains"}, ("score", "passed"))
+
+
+@register("judge_expected_contains_fail", with_views("""
+select run_id,
+       case when n is null or n = 0 then 0e0 else hits / n end as score,
+       case when n is null or n = 0 then false else hits = n end as passed
+from (select run_id,
+             case when json_type(source_metadata, '$.expected_contains') = 'ARRAY'
+                  then json_array_length(source_metadata, '$.expected_contains') end as n,
+             len(list_filter(json_extract_string(source_metadata, '$.expected_contains[*]'),
+                             lambda x: contains(response, x))) as hits
+      from f4_runs) t""", *F4V))
+def q_judge_expected_fail(spark, d):
+    return _judge_query(spark, d, "expected_contains",
+                        {"metadata_key": "expected_contains", "on_missing": "fail", "case_sensitive": True},
+                        ("score", "passed"))
+
+
+@register("judge_json_valid", with_views("""
+select run_id,
+       case when not json_valid(trim(response)) then 0e0
+            when json_type(trim(response)) <> 'OBJECT' then 0e0
+            else 1e0 - ((case when json_exists(trim(response), '$.answer') then 0 else 1 end)
+                       + (case when json_exists(trim(response), '$.size') then 0 else 1 end)
+                       + (case when json_exists(trim(response), '$.price') then 0 else 1 end)) / 3 end as score,
+       case when not json_valid(trim(response)) then false
+            when json_type(trim(response)) <> 'OBJECT' then false
+            else json_exists(trim(response), '$.answer') and json_exists(trim(response), '$.size')
+                 and json_exists(trim(response), '$.price') end as passed
+from f4_runs""", *F4V))
+def q_judge_json(spark, d):
+    return _judge_query(spark, d, "json_valid", {"required_keys": ["answer", "size", "price"]}, ("score", "passed"))
+
+
+@register("judge_regex", with_views("""
+select run_id, case when m then 1e0 else 0e0 end as score, m as passed,
+       case when m then concat('matched: ''', substr(regexp_extract(response, '(?i)sized \\d+'), 1, 80), '''')
+            else 'no match for /SIZED \\d+/' end as notes
+from (select run_id, response, regexp_matches(response, '(?i)sized \\d+') as m from f4_runs) x""", *F4V))
+def q_judge_regex(spark, d):
+    return _judge_query(spark, d, "regex", {"pattern": "SIZED \\d+", "flags": "i"})
+
+
+def judge_replies(spark, d):
+    """Recorded judge-model replies, one per order, in the shapes models emit."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    s = (k % 6).cast("string")
+    reply = (F.when(k % 5 == 0, F.concat(F.lit('{"score": '), s, F.lit(', "reasoning": "ok"}')))
+              .when(k % 5 == 1, F.concat(F.lit('Verdict: {"score": '), s, F.lit(', "passed": false} done')))
+              .when(k % 5 == 2, F.lit('{"score": "high", "passed": null}'))
+              .when(k % 5 == 3, F.concat(F.lit('{"score": "'), s, F.lit('", "passed": true}')))
+              .otherwise(F.lit("no json here")))
+    return o.select(k.cast("string").alias("run_id"), reply.alias("reply"))
+
+
+@register("judge_llm_reply")
+def q_judge_llm(spark, d):
+    r = judge_replies(spark, d)
+    v = build_judge("llm", {"pass_threshold": 4, "judge_model": "judge-m"})(F.lit(""), F.col("reply"))
+    return r.select("run_id", v["score"].alias("score"), v["passed"].alias("passed"), v["notes"].alias("notes"))
+
+
+# ---------------------------------------------------------------- scoring
+
+def _score(spark, d, mode, rubric=NO_REFUSAL, with_tags=False):
+    return score_runs(rubric, f4_runs(spark, d), f4_prompts(spark, d), f4_existing_evals(spark, d, rubric),
+                      prompt_tags=f4_prompt_tags(spark, d) if with_tags else None, as_of=AS_OF, mode=mode)
+
+
+def _score_sql(mode: str, rubric: Rubric = NO_REFUSAL, scoped=False) -> dict[str, str]:
+    cur = rubric.config_hash()
+    c = _sql_ctes(rubric)
+    if rubric.judge_kind == "contains":
+        js = contains_sql("r.response", **{k: v for k, v in rubric.judge_config.items() if k != "case_sensitive"})
+    else:  # pragma: no cover
+        raise ValueError(rubric.judge_kind)
+    fresh = (f"select distinct run_id from f4_existing where rubric = '{rubric.name}' "
+             f"and (rubric_hash is null or rubric_hash = '{cur}')")
+    if mode != "skip":
+        fresh = "select run_id from f4_existing where false"
+    tag_ok = ("select distinct prompt_id from f4_prompt_tags where tag in ("
+              + ", ".join(_sql_str(t) for t in rubric.applies_to_tags) + ")") if scoped else "select prompt_id from f4_prompts"
+    c["dec"] = f"""
+select r.run_id, r.prompt_id, r.response,
+       case when r.run_id in (select run_id from ({fresh})) then 'skipped_existing'
+            when r.response is null or trim(r.response) = '' then 'skipped_no_response'
+            when r.prompt_id not in ({tag_ok}) then 'skipped_tag_mismatch'
+            else 'evaluated' end as decision,
+       {js['score']} as score, {js['passed']} as passed, {js['notes']} as notes
+from f4_runs r"""
+    c["new"] = f"""
+select run_id, '{rubric.name}' as rubric, '{cur}' as rubric_hash, score, passed,
+       '{'llm' if rubric.judge_kind == 'llm' else 'auto'}' as scored_by, timestamp '{AS_OF}' as created_at
+from dec where decision = 'evaluated'"""
+    if mode == "replace":
+        deleted = f"rubric = '{rubric.name}'"
+    elif mode == "skip":
+        deleted = f"rubric = '{rubric.name}' and rubric_hash is not null and rubric_hash <> '{cur}'"
+    else:
+        deleted = "false"
+    c["kept"] = f"select run_id, rubric, rubric_hash, score, passed, scored_by, created_at from f4_existing where not ({deleted})"
+    c["removed"] = f"select count(*) as n from f4_existing where {deleted}"
+    return c
+
+
+EVAL_COLS = ["run_id", "rubric", "rubric_hash", "score", "passed", "scored_by", "created_at"]
+
+
+@register("score_runs", with_views("select * from new", *F4V, extra=_score_sql("skip", SCOPED, True)))
+def q_score_runs(spark, d):
+    return _score(spark, d, "skip", SCOPED, True)["new"].select(*EVAL_COLS)
+
+
+@register("score_counters", with_views("""
+select count(*) as runs_seen, count(*) filter (where decision = 'evaluated') as runs_evaluated,
+       count(*) filter (where decision = 'evaluated') as evaluations_written,
+       count(*) filter (where decision = 'skipped_existing') as skipped_existing,
+       count(*) filter (where decision = 'skipped_no_response') as skipped_no_response,
+       count(*) filter (where decision = 'skipped_tag_mismatch') as skipped_tag_mismatch,
+       cast(0 as bigint) as errors, cast(0 as bigint) as replaced, (select n from removed) as stale_replaced
+from dec""", *F4V, extra=_score_sql("skip", SCOPED, True)))
+def q_score_counters(spark, d):
+    return _score(spark, d, "skip", SCOPED, True)["counters"]
+
+
+@register("score_stale", with_views("select * from kept union all select * from new", *F4V,
+                                    extra=_score_sql("skip")))
+def q_score_stale(spark, d):
+    return _score(spark, d, "skip")["evaluations"].select(*EVAL_COLS)
+
+
+@register("score_replay", with_views("select * from kept union all select * from new", *F4V,
+                                     extra=_score_sql("replace")))
+def q_score_replay(spark, d):
+    return _score(spark, d, "replace")["evaluations"].select(*EVAL_COLS)
+
+
+@register("score_append", with_views("select * from kept union all select * from new", *F4V,
+                                     extra=_score_sql("append")))
+def q_score_append(spark, d):
+    return _score(spark, d, "append")["evaluations"].select(*EVAL_COLS)
+
+
+# ---------------------------------------------------------------- bench and refusal
+
+@register("refusal_rate", with_views("""
+select r.model, count(*) as n, count(*) filter (where not coalesce(n.passed, false)) as n_refused,
+       count(*) filter (where not coalesce(n.passed, false)) / count(*) as refusal_rate
+from new n join f4_runs r on r.run_id = n.run_id group by r.model""", *F4V, extra=_score_sql("append")))
+def q_refusal(spark, d):
+    new = _score(spark, d, "append")["new"]
+    return B.refusal_rate(f4_runs(spark, d), new, "no_refusal")
+
+
+@register("bench_breakdown", with_views("""
+select category, model, n_runs, pass_count, avg_score, pass_rate, avg_cost_usd,
+       case when avg_cost_usd is not null and pass_rate > 0 then avg_cost_usd / pass_rate end as cost_per_pass,
+       avg_latency_ms
+from (select *, case when n_known > 0 then pass_count / n_known else 0.0 end as pass_rate
+      from (select coalesce(json_extract_string(p.source_metadata, '$.intended_tag'), 'uncategorized') as category,
+                   r.model, count(*) as n_runs,
+                   cast(sum(case when e.passed then 1 else 0 end) as bigint) as pass_count,
+                   cast(sum(case when e.passed is not null then 1 else 0 end) as bigint) as n_known,
+                   coalesce(avg(e.score), 0.0) as avg_score, avg(r.cost_usd) as avg_cost_usd,
+                   avg(r.latency_ms) as avg_latency_ms
+            from bench_evals e join f4_store_runs r on r.run_id = e.run_id
+            join f4_prompts p on p.prompt_id = r.prompt_id
+            join f4_models m on m.name = r.model
+            where p.source = 'bench:f4'
+            group by 1, 2) x) y""", *F4V, extra={**_sql_ctes(), "bench_evals": """
+select run_id,
+       case when n is null or n = 0 then 0e0 else hits / n end as score,
+       case when n is null or n = 0 then null else hits = n end as passed
+from (select r.run_id,
+             case when json_type(p.source_metadata, '$.expected_contains') = 'ARRAY'
+                  then json_array_length(p.source_metadata, '$.expected_contains') end as n,
+             len(list_filter(json_extract_string(p.source_metadata, '$.expected_contains[*]'),
+                             lambda x: contains(lower(r.response), lower(x)))) as hits
+      from f4_runs r join f4_prompts p on p.prompt_id = r.prompt_id) t"""}))
+def q_bench_breakdown(spark, d):
+    runs = f4_runs_store(spark, d)
+    prompts = f4_prompts(spark, d)
+    ev = score_runs(BENCH_RUBRIC, runs, prompts, _no_evals(spark), as_of=AS_OF, mode="skip")["new"]
+    bench = B.bench_prompts(prompts, source="bench:f4")
+    return B.bench_breakdown(bench, runs, f4_models(spark, d), ev)
+
+
+def _no_evals(spark):
+    from evalspark.sources.store import empty
+    return empty(spark, "evaluations")
