@@ -60,7 +60,7 @@ def _sql_ctes(rubric: Rubric = NO_REFUSAL) -> dict[str, str]:
     cur = rubric.config_hash()
     return {
         "f4_prompt_tags": """select prompt_id, json_extract_string(source_metadata, '$.intended_tag') as tag,
-                             'bench' as classifier, 1e0 as confidence from f4_prompts
+                             1e0 as confidence, 'bench' as classifier from f4_prompts
                              where json_extract_string(source_metadata, '$.intended_tag') <> 'other'""",
         "f4_models": """select distinct model as name, 'local' as provider,
                         (cast(substr(model, 3, 2) as int) + 1) * 3.5e0 as size_params_b,
