@@ -350,7 +350,7 @@ from (select concat('Summarize the {tone} review of ', p_name, ' for {audience}.
       union all select concat('Write a {tone} poem about ', p_type, ' parts.') from (select distinct p_type from part)
       union all select concat('Translate {missing} for ', p_brand) from (select distinct p_brand from part)) t,
      (select unnest(['short', 'formal']) as tone) a, (select unnest(['engineers', 'kids', 'buyers']) as audience) b
-where len(list_filter(regexp_extract_all(t.template, '[{](\w+)[}]', 1), lambda x: x not in ('tone', 'audience'))) = 0"""))
+where len(list_filter(regexp_extract_all(t.template, '[{](\\w+)[}]', 1), lambda x: x not in ('tone', 'audience'))) = 0"""))
 def q_templates(spark, d):
     p = table(spark, d, "part")
     t = (p.select(F.concat(F.lit("Summarize the {tone} review of "), F.col("p_name"), F.lit(" for {audience}.")).alias("template"))
