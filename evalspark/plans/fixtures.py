@@ -150,8 +150,9 @@ def f3_runs(spark, d) -> DataFrame:
 
 # ------------------------------------------------------------------ F4 (Spark)
 
-def f4_prompts(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
+def f4_prompts(spark, d, part: DataFrame | None = None) -> DataFrame:
+    """``part`` may be a streaming DataFrame: the fixture is a per-row projection."""
+    p = part if part is not None else table(spark, d, "part")
     k = F.col("p_partkey")
     name, kind = F.col("p_name"), k % 8
     content = (F.when(kind == 0, F.concat(F.lit("Write a Python function that sorts "), name, F.lit(" records.")))
@@ -177,9 +178,9 @@ def f4_prompts(spark, d) -> DataFrame:
                     F.col("p_name"), F.col("p_brand"), F.col("p_size"), F.col("p_type"))
 
 
-def f4_runs(spark, d) -> DataFrame:
+def f4_runs(spark, d, part: DataFrame | None = None) -> DataFrame:
     """One scripted reply per F4 prompt: JSON answer / partial answer / refusal."""
-    p = f4_prompts(spark, d)
+    p = f4_prompts(spark, d, part)
     k = F.col("prompt_id")
     resp = (F.when(k % 3 == 0, F.concat(F.lit('{"answer": "'), F.col("p_name"), F.lit('", "brand": "'),
                                         F.col("p_brand"), F.lit('", "size": '),

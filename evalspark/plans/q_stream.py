@@ -1,2 +1,98 @@
-"""Registered queries."""
+"""Streaming queries: each runs its stream with an availableNow trigger over
+the driver's table (read as a file stream), then returns the sink's table."""
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalspark.plans.fixtures import f2_models, f2_prompt_tags, with_views
+from evalspark.plans.q_core import AGG_SQL
+from evalspark.plans.q_ingest import DEDUP_CTES, dnorm
+from evalspark.plans.q_score import NO_REFUSAL, _NR
+from evalspark.plans.registry import register
+from evalspark.streaming import ops as S
+
+
+@register("stream_ingest_dedup", with_views("""
+select distinct h as content_hash from h where h not in (select h from stored)""", extra=DEDUP_CTES))
+def q_stream_ingest(spark, d):
+    store = S.scratch(spark, "stream-store")
+    docs = S.source_table(spark, d, "documents")
+    stored = docs.filter(F.col("lang") == "de")
+    raw = lambda x: x.select(F.col("text").alias("content"), F.lit("documents").alias("source"),
+                             F.col("doc_id").cast("string").alias("source_ref"),
+                             F.lit(None).cast("timestamp").alias("created_at"),
+                             F.to_json(F.struct("lang", "source")).alias("metadata"), F.col("doc_id").alias("order"))
+    S.stream_ingest_dedup(raw(stored), store, S.scratch(spark, "ckpt"), ingested_at="2024-06-01 00:00:00")
+    pre = spark.read.parquet(store).select("content_hash")
+    S.stream_ingest_dedup(raw(S.source_table(spark, d, "documents")), store, S.scratch(spark, "ckpt"),
+                          ingested_at="2024-06-02 00:00:00")
+    out = spark.read.parquet(store).select("content_hash")
+    return out.join(pre, "content_hash", "left_anti")
+
+
+@register("stream_score", with_views(
+    f"select run_id, '{NO_REFUSAL.name}' as rubric, {_NR['score']} as score, {_NR['passed']} as passed from f4_runs "
+    f"where trim(response) <> ''", "f4_prompts", "f4_runs"))
+def q_stream_score(spark, d):
+    from evalspark.plans.fixtures import f4_runs
+    out = S.scratch(spark, "stream-evals")
+    part = S.source_table(spark, d, "part")
+    runs_stream = f4_runs(spark, d, part).withColumnRenamed("prompt", "content")
+    S.stream_score(runs_stream, NO_REFUSAL, out, S.scratch(spark, "ckpt"), as_of="2024-06-01 00:00:00")
+    return spark.read.parquet(out).select("run_id", "rubric", "score", "passed")
+
+
+@register("stream_agg_tag_model", with_views(AGG_SQL.format(rubrics="'human_pass'"),
+                                             "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations"))
+def q_stream_agg(spark, d):
+    out = S.scratch(spark, "stream-agg")
+    li = S.source_table(spark, d, "lineitem")
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    models = f2_models(spark, d)
+    disc = F.round(F.col("l_discount") * 100)
+    scored = (li.filter(F.col("l_linestatus") == "F")
+                .select(F.concat_ws("-", *[F.col(c).cast("string") for c in keys]).alias("run_id"),
+                        F.col("l_orderkey").alias("prompt_id"), F.col("l_suppkey").alias("model_key"),
+                        (disc / F.lit(16.0)).alias("score"),
+                        F.when(F.col("l_returnflag") == "N", F.lit(None).cast("boolean")).otherwise(disc >= 3).alias("passed"),
+                        F.when(F.col("l_tax") == 0, F.lit(None).cast("double"))
+                         .otherwise(F.floor("l_extendedprice") / F.lit(1048576.0)).alias("cost_usd"),
+                        (F.col("l_quantity") * 100).cast("int").alias("latency_ms"))
+                .join(models.select("model_key", F.col("name").alias("model")), "model_key"))
+    S.stream_agg_tag_model(scored, f2_prompt_tags(spark, d), models, out, S.scratch(spark, "ckpt"))
+    return spark.read.parquet(out).select("tag", "model", "size_params_b", "context_window", "n_evals", "n_passed",
+                                          "n_passed_known", "avg_score", "avg_cost_usd", "avg_latency_ms")
+
+
+@register("stream_run_health", with_views("""
+select cast(created_at as date) as day, model, count(*) as n_runs,
+       count(*) filter (where error is not null) as n_errors,
+       sum(cost_usd) as cost_usd, avg(latency_ms) as avg_latency_ms
+from f3_runs group by cast(created_at as date), model""", "f3_runs"))
+def q_stream_health(spark, d):
+    out = S.scratch(spark, "stream-health")
+    e = S.source_table(spark, d, "events")
+    runs = e.select(F.col("event_type").alias("tag"),
+                    F.concat(F.lit("m-"), (F.col("user_id") % 10).cast("string")).alias("model"),
+                    (F.floor(F.col("value") * 100) / F.lit(1024.0)).alias("cost_usd"),
+                    F.floor("value").cast("int").alias("latency_ms"),
+                    F.when(F.col("event_type") == "error", F.lit("http_error: timed out")).alias("error"),
+                    F.col("ts").alias("created_at"))
+    S.stream_run_health(runs, out, S.scratch(spark, "ckpt"))
+    return S.latest_health(spark, out)
+
+
+@register("f3_daily", with_views("""
+select cast(created_at as date) as day, model, count(*) as n_runs,
+       count(*) filter (where error is not null) as n_errors,
+       sum(cost_usd) as cost_usd, avg(latency_ms) as avg_latency_ms
+from f3_runs group by cast(created_at as date), model""", "f3_runs"))
+def q_f3_daily(spark, d):
+    from evalspark.plans.fixtures import f3_runs
+    r = f3_runs(spark, d)
+    return (r.groupBy(F.to_date("created_at").alias("day"), "model")
+             .agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("error").isNotNull()).alias("n_errors"),
+                  F.sum("cost_usd").alias("cost_usd"), F.avg("latency_ms").alias("avg_latency_ms")))
+
+
+_ = dnorm
