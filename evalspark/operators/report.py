@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.aggregate import stats_by_model
@@ -50,14 +50,6 @@ def tag_candidates(agg: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     return score_candidates(c, PRESETS["balanced"], ["tag"], where=F.col("qualifying"))
 
 
-def _pick(c: DataFrame, name: str, order, where=None) -> DataFrame:
-    src = c if where is None else c.filter(where)
-    w = Window.partitionBy("tag").orderBy(*order, F.asc("model"))
-    return (src.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-               .select("tag", *[F.col(x).alias(f"{name}_{x}") for x in
-                                ("model", "pass_rate", "sample_count", "avg_cost_usd")]))
-
-
 def scorecards(activity: DataFrame, agg: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                min_samples: int = DEFAULT_MIN_SAMPLES,
                taxonomy: DataFrame | None = None) -> DataFrame:
@@ -67,29 +59,33 @@ def scorecards(activity: DataFrame, agg: DataFrame, threshold: float = DEFAULT_T
     cost pick = cheapest; balanced pick = best composite under balanced
     weights — all among qualifying models. With none qualifying the quality
     pick is the best (pass rate, samples) candidate and the other picks NULL.
-    Remaining ties go to the model name.
+    Remaining ties go to the model name. All picks come from one ``min_by``
+    aggregate per tag (partial aggregation, no per-pick window or join).
     """
     c = tag_candidates(agg, threshold, min_samples)
     q = F.col("qualifying")
     cost_inf = F.coalesce(F.col("avg_cost_usd"), F.lit(float("inf")))
-    c = c.withColumn("_cost", cost_inf)
-    quality = _pick(c, "q", [F.desc("pass_rate"), F.asc("_cost")], q)
-    fallback = _pick(c, "f", [F.desc("pass_rate"), F.desc("sample_count")])
-    cost = _pick(c, "c", [F.asc("_cost")], q)
-    bal = _pick(c, "b", [F.desc(F.coalesce(F.col("composite_score"), F.lit(0.0)))], q)
-    nq = c.groupBy("tag").agg(F.count_if(q).alias("qualifying_models"))
+    m = F.col("model")
+    val = F.struct("model", "pass_rate", "sample_count", "avg_cost_usd")
+
+    def best(key, cond=None):
+        k = F.struct(*key, m)
+        return F.min_by(val, k if cond is None else F.when(cond, k))
+
+    picks = c.groupBy("tag").agg(
+        best([-F.col("pass_rate"), cost_inf], q).alias("q"),
+        best([-F.col("pass_rate"), -F.col("sample_count")]).alias("f"),
+        best([cost_inf], q).alias("c"),
+        best([-F.coalesce(F.col("composite_score"), F.lit(0.0))], q).alias("b"),
+        F.count_if(q).alias("qualifying_models"))
     has = F.col("qualifying_models") > 0
-    out = (activity.filter(F.col("n_prompts") > 0)
-           .join(nq, "tag")
-           .join(quality, "tag", "left").join(fallback, "tag", "left")
-           .join(cost, "tag", "left").join(bal, "tag", "left")
+    pick = F.when(has, F.col("q")).otherwise(F.col("f"))
+    out = (activity.filter(F.col("n_prompts") > 0).join(picks, "tag")
            .select("tag", "n_prompts", "n_runs", "n_evals",
-                   F.when(has, F.col("q_model")).otherwise(F.col("f_model")).alias("quality_pick"),
-                   F.when(has, F.col("q_pass_rate")).otherwise(F.col("f_pass_rate")).alias("quality_pass_rate"),
-                   F.when(has, F.col("q_sample_count")).otherwise(F.col("f_sample_count")).alias("quality_n"),
-                   F.col("c_model").alias("cost_pick"),
-                   F.col("c_avg_cost_usd").alias("cost_pick_avg_cost"),
-                   F.col("b_model").alias("balanced_pick"),
+                   pick["model"].alias("quality_pick"), pick["pass_rate"].alias("quality_pass_rate"),
+                   pick["sample_count"].alias("quality_n"),
+                   F.col("c.model").alias("cost_pick"), F.col("c.avg_cost_usd").alias("cost_pick_avg_cost"),
+                   F.col("b.model").alias("balanced_pick"),
                    has.alias("has_qualifying"), "qualifying_models"))
     return _order_tags(out, taxonomy)
 
