@@ -130,35 +130,43 @@ _F2_STORE: dict[tuple[str, str], str] = {}
 
 
 def materialize_f2(spark: SparkSession, d: str) -> str:
-    """Write the derived F2 tables once per (application, sf_dir) as Parquet
-    under the shared checkpoint folder — the stored evaluation tables that the
-    operators read in production. Runs and evaluations are hash-partitioned
-    by run_id on write."""
+    """Write the derived F2 tables once per (application, sf_dir) under the
+    shared checkpoint folder — the stored evaluation tables the operators read
+    in production. ``runs`` and ``evaluations`` are bucketed by run_id into the
+    same number of buckets, so their join (the only big-big join) reads
+    co-partitioned files and needs no shuffle."""
     from evalspark.session import checkpoint_dir
     import uuid
     key = (spark.sparkContext.applicationId, d)
     if key in _F2_STORE:
         return _F2_STORE[key]
-    root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex[:12]
+    root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{tag}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    f2_runs(spark, d).repartition(n, "run_id").write.mode("overwrite").parquet(f"{root}/runs")
-    runs = spark.read.parquet(f"{root}/runs")
-    frames = {"models": f2_models(spark, d), "prompts": f2_prompts(spark, d),
-              "prompt_tags": f2_prompt_tags(spark, d), "evaluations": f2_evaluations(spark, d, runs)}
-    for name, df in frames.items():
+    (f2_runs(spark, d).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
+        .option("path", f"{root}/runs").saveAsTable(f"f2_runs_{tag}"))
+    runs = spark.table(f"f2_runs_{tag}")
+    (f2_evaluations(spark, d, runs).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
+        .option("path", f"{root}/evaluations").saveAsTable(f"f2_evaluations_{tag}"))
+    for name, df in {"models": f2_models(spark, d), "prompts": f2_prompts(spark, d),
+                     "prompt_tags": f2_prompt_tags(spark, d)}.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
-    _F2_STORE[key] = root
-    return root
+    _F2_STORE[key] = tag
+    return tag
 
 
 class F2:
     """The F2 star as stored tables (derived once per session, then scanned)."""
 
     def __init__(self, spark: SparkSession, d: str):
+        from evalspark.session import checkpoint_dir
         self.spark, self.d = spark, d
-        root = materialize_f2(spark, d)
-        for name in ("models", "prompts", "prompt_tags", "runs", "evaluations"):
+        tag = materialize_f2(spark, d)
+        root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{tag}"
+        for name in ("models", "prompts", "prompt_tags"):
             setattr(self, name, spark.read.parquet(f"{root}/{name}"))
+        self.runs = spark.table(f"f2_runs_{tag}")
+        self.evaluations = spark.table(f"f2_evaluations_{tag}")
 
 
 # ------------------------------------------------------------------ F1 (Spark)
