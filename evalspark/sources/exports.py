@@ -21,8 +21,7 @@ ARR = "array<variant>"
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Whole files under ``path`` (recursive) as (path, text)."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(path))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return df.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("path"),
                      F.col("value").alias("text"))
 
@@ -56,6 +55,18 @@ def truthy_text(x: Column, key: str) -> Column:
     return F.when(~F.coalesce(falsy, F.lit(True)), s)
 
 
+def is_truthy(f: Column) -> Column:
+    """Python truthiness of a variant value (None, '', 0, false, [] and {} are falsy)."""
+    t = _t(f)
+    s = F.try_variant_get(f, "$", "string")
+    arr = F.size(F.try_variant_get(f, "$", ARR))
+    obj = F.size(F.try_variant_get(f, "$", "map<string,variant>"))
+    return F.coalesce(F.when(t.startswith("ARRAY"), arr > 0)
+                       .when(t.startswith("OBJECT"), obj > 0)
+                       .when(t == "VOID", F.lit(False))
+                       .otherwise(~((s == "") | (s == "0") | (s == "false") | (s == "0.0"))), F.lit(False))
+
+
 def first_text(x: Column, *keys: str) -> Column:
     """``a or b or ...`` over scalar fields."""
     return F.coalesce(*[truthy_text(x, k) for k in keys])
@@ -205,7 +216,7 @@ def parse_lm_studio_logs(docs: DataFrame) -> DataFrame:
                                           F.posexplode(msgs).alias("idx", "msg"))
     msg = F.col("msg")
     role = first_text(msg, "role", "sender")
-    cv = F.coalesce(*[F.when(truthy_text(msg, k).isNotNull(), field(msg, k)) for k in ("content", "text", "message")])
+    cv = F.coalesce(*[F.when(is_truthy(field(msg, k)), field(msg, k)) for k in ("content", "text", "message")])
     cstr = F.when(_t(cv) == "STRING", F.nullif(strip_ws(F.try_variant_get(cv, "$", "string")), F.lit("")))
     parts = F.try_variant_get(cv, "$", ARR)
     ptxt = F.filter(F.transform(parts, lambda p: F.when(_t(p) == "STRING", F.try_variant_get(p, "$", "string"))
