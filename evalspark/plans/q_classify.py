@@ -188,8 +188,15 @@ def q_parse_llm_tags(spark, d):
     return CL.parse_llm_tags(llm_replies(spark, d), default_taxonomy(spark))
 
 
+_MODELS: dict = {}
+
+
 def _train(spark, d):
-    return ML.train(CL.label_examples(f4_prompts(spark, d), ladder_input(spark, d)))
+    """Train once per (application, sf_dir); both ML queries share the models."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = ML.train(CL.label_examples(f4_prompts(spark, d), ladder_input(spark, d)))
+    return _MODELS[key]
 
 
 @register("classify_ml_train")
