@@ -127,6 +127,7 @@ def f2_evaluations(spark, d, runs: DataFrame | None = None) -> DataFrame:
 
 
 _F2_STORE: dict[tuple[str, str], str] = {}
+_F2_BUCKETED: set[str] = set()
 
 
 def materialize_f2(spark: SparkSession, d: str) -> str:
@@ -143,11 +144,17 @@ def materialize_f2(spark: SparkSession, d: str) -> str:
     tag = uuid.uuid4().hex[:12]
     root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{tag}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    (f2_runs(spark, d).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
-        .option("path", f"{root}/runs").saveAsTable(f"f2_runs_{tag}"))
-    runs = spark.table(f"f2_runs_{tag}")
-    (f2_evaluations(spark, d, runs).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
-        .option("path", f"{root}/evaluations").saveAsTable(f"f2_evaluations_{tag}"))
+    try:
+        (f2_runs(spark, d).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
+            .option("path", f"{root}/runs").saveAsTable(f"f2_runs_{tag}"))
+        runs = spark.table(f"f2_runs_{tag}")
+        (f2_evaluations(spark, d, runs).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
+            .option("path", f"{root}/evaluations").saveAsTable(f"f2_evaluations_{tag}"))
+        _F2_BUCKETED.add(tag)
+    except Exception:  # noqa: BLE001 - no usable catalog: plain hash-partitioned Parquet
+        f2_runs(spark, d).repartition(n, "run_id").write.mode("overwrite").parquet(f"{root}/runs")
+        runs = spark.read.parquet(f"{root}/runs")
+        f2_evaluations(spark, d, runs).repartition(n, "run_id").write.mode("overwrite").parquet(f"{root}/evaluations")
     for name, df in {"models": f2_models(spark, d), "prompts": f2_prompts(spark, d),
                      "prompt_tags": f2_prompt_tags(spark, d)}.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
@@ -165,8 +172,12 @@ class F2:
         root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{tag}"
         for name in ("models", "prompts", "prompt_tags"):
             setattr(self, name, spark.read.parquet(f"{root}/{name}"))
-        self.runs = spark.table(f"f2_runs_{tag}")
-        self.evaluations = spark.table(f"f2_evaluations_{tag}")
+        if tag in _F2_BUCKETED:
+            self.runs = spark.table(f"f2_runs_{tag}")
+            self.evaluations = spark.table(f"f2_evaluations_{tag}")
+        else:
+            self.runs = spark.read.parquet(f"{root}/runs")
+            self.evaluations = spark.read.parquet(f"{root}/evaluations")
 
 
 # ------------------------------------------------------------------ F1 (Spark)
