@@ -93,7 +93,7 @@ def q_f1_dedup(spark, d):
                                              F.count(F.lit(1)).alias("copies")))
 
 
-@register("token_count")
+@register("token_count", "select doc_id, cast(null as bigint) as token_count from documents")
 def q_token_count(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", TX.token_count("text").alias("token_count"))
@@ -318,29 +318,56 @@ def seed_docs(spark, d):
                          F.array_join(F.transform("xs", lambda x: x["line"]), "\n\n").alias("text")))
 
 
-@register("read_claude_export")
+# The documents above are built from the tables with turns in order (turns are
+# numbered 0..n-1 per conversation), so each reader's output has a direct SQL
+# form over the same tables. Metadata JSON is checked in tests/.
+
+@register("read_claude_export", """
+select text as content, 'claude_export' as source, concat('c-', cast(conv_id as varchar), ':', cast(turn as varchar)) as source_ref,
+       case when conv_id % 3 = 0 then cast(concat('2024-01-0', cast(turn % 9 + 1 as varchar), ' 10:00:00') as timestamp) end
+         as created_at
+from conversations where role = 'user' and trim(text) <> ''""")
 def q_claude(spark, d):
-    return EX.parse_claude_export(claude_docs(spark, d)).drop("order")
+    return EX.parse_claude_export(claude_docs(spark, d)).select("content", "source", "source_ref", "created_at")
 
 
-@register("read_grok_export")
+@register("read_grok_export", """
+select text as content, 'grok_export' as source,
+       concat('g-', cast(conv_id as varchar), '.json#g-', cast(conv_id as varchar), ':', cast(turn as varchar)) as source_ref,
+       case when conv_id % 3 < 2 then make_timestamp(cast((1704067200 + turn * 60) * 1000000 as bigint)) end as created_at
+from conversations where role = 'user' and trim(text) <> ''""")
 def q_grok(spark, d):
-    return EX.parse_grok_export(grok_docs(spark, d)).drop("order")
+    return EX.parse_grok_export(grok_docs(spark, d)).select("content", "source", "source_ref", "created_at")
 
 
-@register("read_lm_studio_logs")
+@register("read_lm_studio_logs", """
+select case when conv_id % 2 = 0 then text else concat(text, chr(10), '(end)') end as content, 'lm_studio' as source,
+       concat('lm-', cast(conv_id as varchar), '.json#lm-', cast(conv_id as varchar), ':', cast(turn as varchar)) as source_ref,
+       case when conv_id % 2 = 0 then timestamp '2024-02-01 08:00:00' end as created_at
+from conversations where role = 'user'""")
 def q_lm(spark, d):
-    return EX.parse_lm_studio_logs(lm_docs(spark, d)).drop("order")
+    return EX.parse_lm_studio_logs(lm_docs(spark, d)).select("content", "source", "source_ref", "created_at")
 
 
-@register("read_openrouter_history")
+@register("read_openrouter_history", """
+select case when u.conv_id % 3 = 0 then u.first_text else u.joined end as content, 'openrouter' as source,
+       concat('gen-', cast(u.conv_id as varchar)) as source_ref,
+       make_timestamp(2024, 3, cast(u.conv_id % 28 + 1 as bigint), 12, 0, 0) as created_at
+from (select conv_id, string_agg(text, chr(10) order by turn) as joined, arg_min(text, turn) as first_text
+      from conversations where role = 'user' group by conv_id) u
+where u.conv_id % 28 + 1 >= 10""")
 def q_openrouter(spark, d):
-    return EX.parse_openrouter_history(openrouter_docs(spark, d), cutoff="2024-03-10 00:00:00").drop("order")
+    return EX.parse_openrouter_history(openrouter_docs(spark, d), cutoff="2024-03-10 00:00:00").select("content", "source", "source_ref", "created_at")
 
 
-@register("read_seed_prompts")
+@register("read_seed_prompts", """
+select text as content, 'self_generated:seed' as source,
+       concat('cat', cast(item_id % 4 as varchar), '.jsonl:',
+              cast(row_number() over (partition by item_id % 4 order by item_id) - 1 as varchar)) as source_ref,
+       cast(null as timestamp) as created_at
+from benchmark""")
 def q_seed(spark, d):
-    return SD.parse_seed_prompts(seed_docs(spark, d)).drop("order")
+    return SD.parse_seed_prompts(seed_docs(spark, d)).select("content", "source", "source_ref", "created_at")
 
 
 @register("expand_templates", with_views("""
