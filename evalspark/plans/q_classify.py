@@ -183,7 +183,17 @@ def llm_replies(spark, d):
     return p.select("prompt_id", reply.alias("reply"))
 
 
-@register("parse_llm_tags")
+@register("parse_llm_tags", with_views("""
+select prompt_id, tag, confidence, 'llm' as classifier from (
+  select prompt_id, json_extract_string(source_metadata, '$.intended_tag') as tag, 0.9e0 as confidence
+  from f4_prompts where prompt_id % 4 = 0
+  union all
+  select prompt_id, json_extract_string(source_metadata, '$.intended_tag'), 0.5e0 from f4_prompts where prompt_id % 4 = 1
+  union all
+  select prompt_id, 'coding', 1e0 from f4_prompts where prompt_id % 4 = 2) t
+where tag in ('coding', 'reasoning', 'math', 'summarization', 'extraction', 'classification', 'creative',
+              'conversation', 'instruction', 'translation', 'qa_factual', 'rewrite', 'planning', 'unknown')""",
+    *F4V))
 def q_parse_llm_tags(spark, d):
     return CL.parse_llm_tags(llm_replies(spark, d), default_taxonomy(spark))
 

@@ -199,7 +199,12 @@ def judge_replies(spark, d):
     return o.select(k.cast("string").alias("run_id"), reply.alias("reply"))
 
 
-@register("judge_llm_reply")
+@register("judge_llm_reply", """
+select cast(o_orderkey as varchar) as run_id,
+       case when k5 in (0, 1, 3) then cast(s as double) else 0e0 end as score,
+       case k5 when 0 then s >= 4 when 1 then false when 2 then false when 3 then true end as passed,
+       case k5 when 0 then 'ok' when 4 then 'judge returned unparseable: ''no json here''' end as notes
+from (select o_orderkey, o_orderkey % 5 as k5, o_orderkey % 6 as s from orders) t""")
 def q_judge_llm(spark, d):
     r = judge_replies(spark, d)
     v = build_judge("llm", {"pass_threshold": 4, "judge_model": "judge-m"})(F.lit(""), F.col("reply"))
