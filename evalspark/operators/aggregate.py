@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.metrics import cost_per_pass, pass_rate
+from evalspark.functions.rows import one_row
 
 AGG_MEASURES = ["n_evals", "n_passed", "n_passed_known", "avg_score",
                 "avg_cost_usd", "avg_latency_ms"]
@@ -174,8 +175,7 @@ def headline(prompts: DataFrame, models: DataFrame, runs: DataFrame,
     p = prompts.agg(F.count(F.lit(1)).alias("n_prompts"))
     m = models.agg(F.count(F.lit(1)).alias("n_models"))
     e = evaluations.agg(F.count(F.lit(1)).alias("n_evals"))
-    # four one-row global aggregates; the cross product is 1 x 1 x 1 x 1
-    return p.crossJoin(m).crossJoin(r).crossJoin(e).select(
+    return one_row(p, m, r, e).select(
         "n_prompts", "n_models", "n_runs", "n_evals", "n_runs_with_error", "total_cost_usd")
 
 

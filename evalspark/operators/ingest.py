@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.judges import is_blank
+from evalspark.functions.rows import one_row
 from evalspark.functions.text import content_hash, stored_content
 
 RAW_COLS = ["content", "source", "source_ref", "created_at", "metadata"]
@@ -65,7 +66,7 @@ def ingest_counters(raw: DataFrame, new: DataFrame) -> DataFrame:
     r = raw.agg(F.count(F.lit(1)).alias("_seen"),
                 F.count_if(is_blank(F.col("content"))).alias("skipped"))
     n = new.agg(F.count(F.lit(1)).alias("inserted"))
-    return (r.crossJoin(n)
+    return (one_row(r, n)
              .select("inserted", (F.col("_seen") - F.col("skipped") - F.col("inserted")).alias("duplicates"),
                      "skipped"))
 

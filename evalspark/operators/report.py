@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.rows import one_row
 from evalspark.operators.aggregate import stats_by_model
 from evalspark.operators.route import PRESETS, score_candidates
 from evalspark.schemas import DEFAULT_MIN_SAMPLES, DEFAULT_THRESHOLD
@@ -145,11 +146,11 @@ def rubric_freshness(evaluations: DataFrame, as_of, staleness_days: float = 30.0
 def quality_checks(prompts: DataFrame, prompt_tags: DataFrame, models: DataFrame,
                    evaluations: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Data part of the setup check as (check, status, detail, value) rows."""
-    one = (taxonomy.agg(F.count(F.lit(1)).alias("taxonomy"))
-           .crossJoin(prompts.agg(F.count(F.lit(1)).alias("prompts")))
-           .crossJoin(prompt_tags.agg(F.countDistinct("prompt_id").alias("tagged")))
-           .crossJoin(models.agg(F.count(F.lit(1)).alias("models")))
-           .crossJoin(evaluations.agg(F.count(F.lit(1)).alias("evaluations"))))
+    one = one_row(taxonomy.agg(F.count(F.lit(1)).alias("taxonomy")),
+                  prompts.agg(F.count(F.lit(1)).alias("prompts")),
+                  prompt_tags.agg(F.countDistinct("prompt_id").alias("tagged")),
+                  models.agg(F.count(F.lit(1)).alias("models")),
+                  evaluations.agg(F.count(F.lit(1)).alias("evaluations")))
     t, p, g, m, e = (F.col(x) for x in ("taxonomy", "prompts", "tagged", "models", "evaluations"))
     s = F.lit("ok")
 
@@ -212,13 +213,12 @@ def report_json(sections: dict[str, DataFrame], generated_at: str) -> DataFrame:
         return df.agg(F.collect_list(F.struct(*cols)).alias(name))
 
     h = sections["headline"]
-    doc = (h.select(F.struct(*h.columns).alias("_h"))
-           .crossJoin(listed("prompts_by_source", sections["prompts_by_source"]
-                             .withColumnRenamed("n", "count")))
-           .crossJoin(listed("evals_by_rubric", sections["evals_by_rubric"].withColumnRenamed("n", "count")))
-           .crossJoin(listed("scorecards", sections["scorecards"]))
-           .crossJoin(listed("gaps", sections["gaps"]))
-           .crossJoin(listed("rubric_freshness", sections["rubric_freshness"])))
+    doc = one_row(h.select(F.struct(*h.columns).alias("_h")),
+                  listed("prompts_by_source", sections["prompts_by_source"].withColumnRenamed("n", "count")),
+                  listed("evals_by_rubric", sections["evals_by_rubric"].withColumnRenamed("n", "count")),
+                  listed("scorecards", sections["scorecards"]),
+                  listed("gaps", sections["gaps"]),
+                  listed("rubric_freshness", sections["rubric_freshness"]))
     headline = F.struct(*[F.col("_h")[c].alias(c) for c in h.columns],
                         F.col("prompts_by_source"), F.col("evals_by_rubric"))
     return doc.select(F.to_json(F.struct(

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.judges import build_judge, is_blank
+from evalspark.functions.rows import one_row
 
 DECISIONS = ("skipped_existing", "skipped_no_response", "skipped_tag_mismatch", "error", "evaluated")
 
@@ -155,7 +156,7 @@ def score_runs(rubric: Rubric, runs: DataFrame, prompts: DataFrame, evaluations:
                         F.count_if(d == "skipped_tag_mismatch").alias("skipped_tag_mismatch"),
                         F.count_if(d == "error").alias("errors"))
     del_counts = removed.agg(F.count(F.lit(1)).alias("_n"))
-    counters = (runs_counts.crossJoin(del_counts)
+    counters = (one_row(runs_counts, del_counts)
                 .withColumn("replaced", F.when(F.lit(mode == "replace"), F.col("_n")).otherwise(F.lit(0)).cast("bigint"))
                 .withColumn("stale_replaced", F.when(F.lit(mode == "skip"), F.col("_n")).otherwise(F.lit(0)).cast("bigint"))
                 .drop("_n"))

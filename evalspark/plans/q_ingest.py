@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.functions import text as TX
+from evalspark.functions.rows import one_row
 from evalspark.functions.rubrics import BENCH_DIR_META_KEY
 from evalspark.operators import classify as CL
 from evalspark.operators import ingest as IG
@@ -393,4 +394,4 @@ def q_load_bench(spark, d):
     raw = SD.parse_seed_prompts(seed_docs(spark, d), {BENCH_DIR_META_KEY: "/bench/f1"})
     out = IG.dedup_prompts(raw, None, ingested_at=AS_OF)
     tags = CL.tag_intended(out["new"], None, marker="/bench/f1")
-    return out["counters"].crossJoin(tags.agg(F.count(F.lit(1)).alias("tagged")))
+    return one_row(out["counters"], tags.agg(F.count(F.lit(1)).alias("tagged")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.judges import is_blank, strip_ws
+from evalspark.functions.rows import one_row
 from evalspark.functions.text import content_hash, normalize_prompt, parse_timestamp, provider_family
 
 SOURCE_NAME = "ai_harness"
@@ -97,14 +98,14 @@ def import_harness_log(log: DataFrame, stored_prompts: DataFrame | None, stored_
                     F.lit(SCORER_MODEL).alias("judge_model"),
                     F.lit("Imported from AI Harness Gemini-Flash scorer.").alias("notes")))
     evals = human.unionByName(auto)
-    counters = (log.agg(F.count(F.lit(1)).alias("runs_seen"))
-                .crossJoin(rows.agg(F.count(F.lit(1)).alias("_left"),
-                                    F.count_if(~F.col("_task_ok") | F.col("_model").isNull()).alias("errors")))
-                .crossJoin(runs.agg(F.count(F.lit(1)).alias("runs_imported")))
-                .crossJoin(firsts.agg(F.count_if(F.col("_known").isNull()).alias("prompts_inserted"),
-                                      F.count_if(F.col("_known")).alias("prompts_deduped")))
-                .crossJoin(new_models.agg(F.count(F.lit(1)).alias("models_registered")))
-                .crossJoin(evals.agg(F.count(F.lit(1)).alias("evaluations_inserted")))
+    counters = (one_row(log.agg(F.count(F.lit(1)).alias("runs_seen")),
+                        rows.agg(F.count(F.lit(1)).alias("_left"),
+                                 F.count_if(~F.col("_task_ok") | F.col("_model").isNull()).alias("errors")),
+                        runs.agg(F.count(F.lit(1)).alias("runs_imported")),
+                        firsts.agg(F.count_if(F.col("_known").isNull()).alias("prompts_inserted"),
+                                   F.count_if(F.col("_known")).alias("prompts_deduped")),
+                        new_models.agg(F.count(F.lit(1)).alias("models_registered")),
+                        evals.agg(F.count(F.lit(1)).alias("evaluations_inserted")))
                 .select("runs_seen", "runs_imported", (F.col("runs_seen") - F.col("_left")).alias("runs_skipped_existing"),
                         "prompts_inserted", "prompts_deduped", "models_registered", "evaluations_inserted", "errors"))
     return {"prompts": new_prompts, "models": new_models, "runs": runs, "evaluations": evals,
