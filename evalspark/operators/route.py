@@ -114,19 +114,18 @@ def route_candidates(agg: DataFrame, tag_sets: DataFrame, weights: Weights | str
 
 def pick_per_tag_set(cands: DataFrame) -> DataFrame:
     """One pick per tag set: best composite among qualifying models (ties by
-    model name), else fall back to best pass rate, then sample count, then name."""
+    model name), else fall back to best pass rate, then sample count, then name.
+    One ``min_by`` aggregate per tag set (partial aggregation, no sort)."""
     q = F.col("qualifying")
-    order = [F.desc(q),
-             F.desc(F.when(q, F.col("composite_score")).otherwise(F.col("pass_rate"))),
-             F.desc(F.when(q, F.lit(0)).otherwise(F.col("sample_count"))),
-             F.asc("model")]
-    win = Window.partitionBy("tagset").orderBy(*order)
-    n_cand = F.count(F.lit(1)).over(Window.partitionBy("tagset"))
-    n_qual = F.count_if(q).over(Window.partitionBy("tagset"))
-    return (cands.withColumn("n_candidates", n_cand)
-                 .withColumn("n_qualifying", n_qual)
-                 .withColumn("_rn", F.row_number().over(win))
-                 .filter(F.col("_rn") == 1).drop("_rn")
+    key = F.struct((~q).alias("k0"),
+                   (-F.when(q, F.col("composite_score")).otherwise(F.col("pass_rate"))).alias("k1"),
+                   (-F.when(q, F.lit(0)).otherwise(F.col("sample_count"))).alias("k2"),
+                   F.col("model").alias("k3"))
+    cols = [c for c in cands.columns if c != "tagset"]
+    return (cands.groupBy("tagset")
+                 .agg(F.min_by(F.struct(*cols), key).alias("_p"),
+                      F.count(F.lit(1)).alias("n_candidates"), F.count_if(q).alias("n_qualifying"))
+                 .select("tagset", "_p.*", "n_candidates", "n_qualifying")
                  .withColumn("fallback", ~F.col("qualifying")))
 
 
