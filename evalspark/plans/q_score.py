@@ -339,3 +339,36 @@ def q_bench_breakdown(spark, d):
 def _no_evals(spark):
     from evalspark.sources.store import empty
     return empty(spark, "evaluations")
+
+
+def bench_replies(spark, d, models):
+    """Recorded replies for every (bench item, model): some echo the item, some refuse."""
+    from evalspark.functions.text import content_hash
+    b = table(spark, d, "benchmark")
+    x = b.select(content_hash(F.col("text")).alias("prompt_id"), "item_id", "text",
+                 F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    k = F.col("item_id") + F.substring("model", 3, 2).cast("int")
+    text = F.when(k % 3 == 0, F.lit("I cannot help with that.")).otherwise(F.col("text"))
+    payload = F.concat(F.lit('{"choices": [{"message": {"content": '),
+                       F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""),
+                       F.lit('}}], "usage": {"prompt_tokens": 12, "completion_tokens": 34}}'))
+    return x.select("prompt_id", "model", payload.alias("payload"), F.lit(None).cast("string").alias("http_error"),
+                    (F.col("item_id") % 500 + 50).cast("int").alias("latency_ms"))
+
+
+@register("bench_run")
+def q_bench_run(spark, d):
+    from evalspark.functions.rubrics import BENCH_DIR_META_KEY
+    from evalspark.plans.q_ingest import seed_docs
+    from evalspark.plans.q_runs import F1_MODELS
+    from evalspark.sources.seeds import parse_seed_prompts
+    from evalspark.sources.store import empty
+    marker = "/bench/f1"
+    raw = parse_seed_prompts(seed_docs(spark, d), {BENCH_DIR_META_KEY: marker})
+    models = spark.createDataFrame([(m, (i + 1) * 0.5, (i + 1) * 1.5) for i, m in enumerate(F1_MODELS)],
+                                   "name string, cost_in_per_mtok double, cost_out_per_mtok double") \
+                  .withColumn("size_params_b", F.lit(None).cast("double")) \
+                  .withColumn("context_window", F.lit(None).cast("bigint"))
+    out = B.bench_run(raw, marker, None, None, models, None, empty(spark, "evaluations"),
+                      bench_replies(spark, d, F1_MODELS), AS_OF, extra_rubrics=[NO_REFUSAL])
+    return out["breakdown"]
