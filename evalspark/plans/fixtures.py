@@ -143,7 +143,8 @@ def materialize_f2(spark: SparkSession, d: str) -> str:
         return _F2_STORE[key]
     tag = uuid.uuid4().hex[:12]
     root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{tag}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    # bucket count for the fixture store: the session's shuffle width, capped
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 64))
     try:
         (f2_runs(spark, d).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
             .option("path", f"{root}/runs").saveAsTable(f"f2_runs_{tag}"))
