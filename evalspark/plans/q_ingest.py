@@ -389,7 +389,16 @@ def q_templates(spark, d):
     return out.select("content", "source", "source_ref")
 
 
-@register("load_bench")
+@register("load_bench", f"""
+with b as (select item_id, {dnorm('text')} as norm,
+                  (item_id % 4) * 1000000000 + row_number() over (partition by item_id % 4 order by item_id) - 1 as ord
+           from benchmark),
+     nb as (select * from b where norm <> ''),
+     firsts as (select norm, arg_min(item_id, ord) as first_item from nb group by norm)
+select (select count(*) from firsts) as inserted,
+       (select count(*) from nb) - (select count(*) from firsts) as duplicates,
+       cast(0 as bigint) as skipped,
+       (select count(*) from firsts where first_item % 9 <> 0) as tagged""")
 def q_load_bench(spark, d):
     raw = SD.parse_seed_prompts(seed_docs(spark, d), {BENCH_DIR_META_KEY: "/bench/f1"})
     out = IG.dedup_prompts(raw, None, ingested_at=AS_OF)

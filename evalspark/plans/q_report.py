@@ -219,7 +219,14 @@ def _report(spark, d):
                            AS_OF, taxonomy=S.default_taxonomy(spark))
 
 
-@register("build_report")
+@register("build_report", with_views(f"""
+select 'headline' as section, cast(1 as bigint) as n_rows
+union all select 'prompts_by_source', count(*) from (select source from f2_prompts group by source) x
+union all select 'evals_by_rubric', count(*) from (select rubric from f2_evaluations group by rubric) x
+union all select 'scorecards', count(*) from ({SCORECARD_BODY}) x
+union all select 'gaps', count(*) from ({GAPS_BODY}) x
+union all select 'rubric_freshness', count(*) from (select rubric from f2_evaluations group by rubric) x""",
+    *F2V, extra=tag_cand_ctes()))
 def q_build_report(spark, d):
     secs = _report(spark, d)
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("section"), "n_rows")
