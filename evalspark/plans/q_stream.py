@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.plans.fixtures import f2_models, f2_prompt_tags, with_views
-from evalspark.plans.q_core import AGG_SQL
 from evalspark.plans.q_ingest import DEDUP_CTES, dnorm
 from evalspark.plans.q_score import NO_REFUSAL, _NR
 from evalspark.plans.registry import register
@@ -42,8 +41,24 @@ def q_stream_score(spark, d):
     return spark.read.parquet(out).select("run_id", "rubric", "score", "passed")
 
 
-@register("stream_agg_tag_model", with_views(AGG_SQL.format(rubrics="'human_pass'"),
-                                             "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations"))
+# The stream's events are line items as they arrive (each one a scored run);
+# the batch F2 view additionally merges the rare duplicate line keys.
+STREAM_AGG_SQL = """
+select pt.tag, m.name as model, m.size_params_b, m.context_window, count(*) as n_evals,
+       cast(sum(case when s.passed then 1 else 0 end) as bigint) as n_passed,
+       cast(sum(case when s.passed is not null then 1 else 0 end) as bigint) as n_passed_known,
+       coalesce(avg(s.score), 0.0) as avg_score, avg(s.cost_usd) as avg_cost_usd, avg(s.latency_ms) as avg_latency_ms
+from (select l_orderkey as prompt_id, l_suppkey as model_key, round(l_discount * 100) / 16e0 as score,
+             case when l_returnflag = 'N' then null else round(l_discount * 100) >= 3 end as passed,
+             case when l_tax = 0 then null else floor(l_extendedprice) / 1048576e0 end as cost_usd,
+             cast(l_quantity * 100 as int) as latency_ms
+      from lineitem where l_linestatus = 'F') s
+join (select distinct prompt_id, tag from f2_prompt_tags) pt on pt.prompt_id = s.prompt_id
+join f2_models m on m.model_key = s.model_key
+group by pt.tag, m.name, m.size_params_b, m.context_window"""
+
+
+@register("stream_agg_tag_model", with_views(STREAM_AGG_SQL, "f2_prompt_tags", "f2_models"))
 def q_stream_agg(spark, d):
     out = S.scratch(spark, "stream-agg")
     li = S.source_table(spark, d, "lineitem")
