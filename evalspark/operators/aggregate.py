@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalspark.functions.metrics import cost_per_pass, pass_rate
 from evalspark.functions.rows import one_row

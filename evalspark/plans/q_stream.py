@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.plans.fixtures import f2_models, f2_prompt_tags, with_views
-from evalspark.plans.q_ingest import DEDUP_CTES, dnorm
+from evalspark.plans.q_ingest import DEDUP_CTES
 from evalspark.plans.q_score import NO_REFUSAL, _NR
 from evalspark.plans.registry import register
 from evalspark.streaming import ops as S
@@ -110,4 +110,3 @@ def q_f3_daily(spark, d):
                   F.sum("cost_usd").alias("cost_usd"), F.avg("latency_ms").alias("avg_latency_ms")))
 
 
-_ = dnorm
