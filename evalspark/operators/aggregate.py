@@ -2,7 +2,8 @@
 
 Join order is written by hand because there are no table statistics:
 evaluations (filtered by rubric at the scan) join runs on ``run_id`` (the one
-big-big join; co-partition or bucket both tables by run_id in the store), then
+big-big join; co-partition or bucket both tables by run_id in the store) and
+are reduced to decomposable partial sums per (prompt, model); only those meet
 the de-duplicated prompt tags on ``prompt_id``, then models. The final
 ``groupBy(tag, model)`` has few keys, so partial (map-side) aggregation
 collapses hot tags/models before the shuffle.
@@ -70,6 +71,34 @@ def scored_runs(runs: DataFrame, evaluations: DataFrame, rubrics: Sequence[str])
     return e.join(r, "run_id")
 
 
+def prompt_model_partials(runs: DataFrame, evaluations: DataFrame, rubrics: Sequence[str]) -> DataFrame:
+    """Decomposable partial sums per (prompt_id, model) over evaluations of
+    ``rubrics`` joined to their runs. Everything downstream (per tag, per
+    category, per model) is a sum of these, so the evaluation-level rows are
+    reduced — map-side first — before any join on prompt_id: a prompt or model
+    that owns a third of all runs becomes a handful of rows."""
+    j = scored_runs(runs, evaluations, rubrics)
+    return (j.groupBy("prompt_id", "model").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(F.col("passed"), 1).otherwise(0)).cast("bigint").alias("_np"),
+        F.sum(F.when(F.col("passed").isNotNull(), 1).otherwise(0)).cast("bigint").alias("_nk"),
+        F.sum("score").alias("_ss"), F.count("score").alias("_ns"),
+        F.sum("cost_usd").alias("_sc"), F.count("cost_usd").alias("_nc"),
+        F.sum("latency_ms").alias("_sl"), F.count("latency_ms").alias("_nl")))
+
+
+def _finish(x: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum partials per ``keys`` and turn them into the aggregate measures."""
+    g = x.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in
+                               ("_n", "_np", "_nk", "_ss", "_ns", "_sc", "_nc", "_sl", "_nl")])
+    return g.select(*keys,
+                    F.col("_n").alias("n_evals"), F.col("_np").alias("n_passed"),
+                    F.col("_nk").alias("n_passed_known"),
+                    F.coalesce(F.col("_ss") / F.col("_ns"), F.lit(0.0)).alias("avg_score"),
+                    (F.col("_sc") / F.col("_nc")).alias("avg_cost_usd"),
+                    (F.col("_sl") / F.col("_nl")).alias("avg_latency_ms"))
+
+
 def agg_tag_model(prompt_tags: DataFrame, runs: DataFrame, models: DataFrame,
                   evaluations: DataFrame, rubrics: Sequence[str],
                   tags: Sequence[str] | None = None,
@@ -84,11 +113,11 @@ def agg_tag_model(prompt_tags: DataFrame, runs: DataFrame, models: DataFrame,
     if model_names is not None:
         m = m.filter(_isin("model", model_names))
     pt = distinct_prompt_tags(prompt_tags, tags, prompt_ids)
-    joined = (scored_runs(runs, evaluations, rubrics)
-              .join(pt, "prompt_id")
-              .join(m, "model"))
-    agg = (joined.groupBy("tag", "model", "size_params_b", "context_window")
-                 .agg(*_measures()))
+    parts = prompt_model_partials(runs, evaluations, rubrics)
+    if prompt_ids is not None:
+        parts = parts.filter(_isin("prompt_id", prompt_ids))
+    joined = parts.join(pt, "prompt_id").join(m, "model")
+    agg = _finish(joined, ["tag", "model", "size_params_b", "context_window"])
     if not rubrics or any(x is not None and len(x) == 0 for x in (tags, prompt_ids, model_names)):
         return with_derived(_empty_like(agg, out_cols))
     return with_derived(agg.select(*out_cols))
@@ -107,8 +136,8 @@ def agg_intended_tag(prompts: DataFrame, runs: DataFrame, models: DataFrame,
     if prompt_ids is not None:
         p = p.filter(_isin("prompt_id", prompt_ids))
     m = models.select(F.col("name").alias("model"), "size_params_b", "context_window")
-    joined = scored_runs(runs, evaluations, rubrics).join(p, "prompt_id").join(m, "model")
-    agg = joined.groupBy("tag", "model", "size_params_b", "context_window").agg(*_measures())
+    joined = prompt_model_partials(runs, evaluations, rubrics).join(p, "prompt_id").join(m, "model")
+    agg = _finish(joined, ["tag", "model", "size_params_b", "context_window"])
     out_cols = ["tag", "model", "size_params_b", "context_window", *AGG_MEASURES]
     if not rubrics or (prompt_ids is not None and len(prompt_ids) == 0):
         return with_derived(_empty_like(agg, out_cols))
