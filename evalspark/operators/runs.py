@@ -100,7 +100,12 @@ def fanout_replay(work: DataFrame, replies: DataFrame, models: DataFrame, create
     """Runs for work items from recorded replies (left join on prompt, model:
     a work item without a reply becomes a failed run). ``run_metadata`` is
     NULL unless a system prompt or extra metadata was given."""
-    parsed = parse_chat_replies(replies, models)
+    # one recorded outcome per work item: if a pair was recorded more than once,
+    # keep the smallest (payload, error, latency) so reruns give the same runs
+    one = (replies.groupBy("prompt_id", "model")
+           .agg(F.min(F.struct("payload", "http_error", "latency_ms")).alias("_r"))
+           .select("prompt_id", "model", "_r.*"))
+    parsed = parse_chat_replies(one, models)
     j = work.join(parsed, ["prompt_id", "model"], "left")
     err = F.coalesce(F.col("error"), F.when(F.col("response").isNull(), F.lit("http_error: no recorded reply")))
     meta = {}

@@ -351,12 +351,45 @@ def bench_replies(spark, d, models):
     text = F.when(k % 3 == 0, F.lit("I cannot help with that.")).otherwise(F.col("text"))
     payload = F.concat(F.lit('{"choices": [{"message": {"content": '),
                        F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""),
-                       F.lit('}}], "usage": {"prompt_tokens": 12, "completion_tokens": 34}}'))
+                       F.lit('}}], "usage": {"prompt_tokens": 1000000, "completion_tokens": 3000000}}'))
     return x.select("prompt_id", "model", payload.alias("payload"), F.lit(None).cast("string").alias("http_error"),
                     (F.col("item_id") % 500 + 50).cast("int").alias("latency_ms"))
 
 
-@register("bench_run")
+BENCH_RUN_SQL = """
+with b as (select item_id, text, item_id % 4 as k,
+                  sha256(trim(regexp_replace(text, '[\\s\\v\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))) as pid,
+                  row_number() over (partition by item_id % 4 order by item_id) - 1 as idx
+           from benchmark),
+     firsts as (select pid, arg_min(item_id, k * 1000000000 + idx) as first_item from b group by pid),
+     bp as (select f.pid, b.item_id, b.text,
+                   case when b.item_id % 9 = 0 then 'uncategorized' else concat('cat', cast(b.k as varchar)) end as category,
+                   case when b.item_id % 9 = 0 then null else split_part(b.text, ' ', 1) end as needle
+            from firsts f join b on b.item_id = f.first_item),
+     rep as (select bp.*, m.model, cast(substr(m.model, 3, 2) as int) as mk
+             from bp, (select unnest(['m-0', 'm-1', 'm-2', 'm-3', 'm-4']) as model) m),
+     ev as (select category, model,
+                   case when (item_id + mk) % 3 = 0 then 'I cannot help with that.' else text end as resp,
+                   needle, cast(item_id % 500 + 50 as bigint) as lat,
+                   0e0 + (1000000 / 1000000e0) * ((mk + 1) * 0.5e0) + (3000000 / 1000000e0) * ((mk + 1) * 1.5e0) as cost
+            from rep),
+     sc as (select *, case when needle is null then null else contains(lower(resp), lower(needle)) end as passed,
+                   case when needle is null then 0e0 when contains(lower(resp), lower(needle)) then 1e0 else 0e0 end as score
+            from ev),
+     g as (select category, model, count(*) as n_runs,
+                  cast(sum(case when passed then 1 else 0 end) as bigint) as pass_count,
+                  cast(sum(case when passed is not null then 1 else 0 end) as bigint) as n_known,
+                  coalesce(avg(score), 0.0) as avg_score, avg(cost) as avg_cost_usd, avg(lat) as avg_latency_ms
+           from sc group by category, model)
+select category, model, n_runs, pass_count, avg_score,
+       case when n_known > 0 then pass_count / n_known else 0.0 end as pass_rate, avg_cost_usd,
+       case when avg_cost_usd is not null and (case when n_known > 0 then pass_count / n_known else 0.0 end) > 0
+            then avg_cost_usd / (case when n_known > 0 then pass_count / n_known else 0.0 end) end as cost_per_pass,
+       avg_latency_ms
+from g"""
+
+
+@register("bench_run", BENCH_RUN_SQL)
 def q_bench_run(spark, d):
     from evalspark.functions.rubrics import BENCH_DIR_META_KEY
     from evalspark.plans.q_ingest import seed_docs
