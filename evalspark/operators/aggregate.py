@@ -94,9 +94,9 @@ def _finish(x: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys,
                     F.col("_n").alias("n_evals"), F.col("_np").alias("n_passed"),
                     F.col("_nk").alias("n_passed_known"),
-                    F.coalesce(F.col("_ss") / F.col("_ns"), F.lit(0.0)).alias("avg_score"),
-                    (F.col("_sc") / F.col("_nc")).alias("avg_cost_usd"),
-                    (F.col("_sl") / F.col("_nl")).alias("avg_latency_ms"))
+                    F.coalesce(F.try_divide("_ss", "_ns"), F.lit(0.0)).alias("avg_score"),
+                    F.try_divide("_sc", "_nc").alias("avg_cost_usd"),
+                    F.try_divide("_sl", "_nl").cast("double").alias("avg_latency_ms"))
 
 
 def agg_tag_model(prompt_tags: DataFrame, runs: DataFrame, models: DataFrame,

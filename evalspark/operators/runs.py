@@ -53,7 +53,7 @@ def parse_chat_payload(payload: Column) -> Column:
     v = F.try_parse_json(payload)
     choices = F.try_variant_get(v, "$.choices", "array<variant>")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    first = F.element_at(choices, 1)
+    first = F.try_element_at(choices, F.lit(1))
     first_obj = F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False))
     msg = F.try_variant_get(first, "$.message", "variant")
     msg_obj = F.coalesce(F.schema_of_variant(msg).startswith("OBJECT"), F.lit(False))

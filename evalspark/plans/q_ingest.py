@@ -288,7 +288,7 @@ def openrouter_docs(spark, d):
     g = _conv_msgs(spark, d)
     k = F.col("conv_id") % 3
     msgs = F.transform("m", lambda m: F.to_json(F.struct(m["role"].alias("role"), m["text"].alias("content"))))
-    first_user = F.filter("m", lambda m: m["role"] == "user")[0]["text"]
+    first_user = F.try_element_at(F.filter("m", lambda m: m["role"] == "user"), F.lit(1))["text"]
     created = F.concat(F.lit("2024-03-"), F.lpad(((F.col("conv_id") % 28) + 1).cast("string"), 2, "0"),
                        F.lit("T12:00:00Z"))
     rec = F.concat(F.lit('{"id": "gen-'), F.col("conv_id").cast("string"), F.lit('", "model": "openai/gpt-4o-mini"'),

@@ -167,7 +167,7 @@ def read_claude_export(spark: SparkSession, path: str) -> DataFrame:
 def parse_grok_export(docs: DataFrame) -> DataFrame:
     v = F.try_parse_json("text")
     top_list = F.try_variant_get(v, "$", ARR)
-    first = F.element_at(top_list, 1)
+    first = F.try_element_at(top_list, F.lit(1))
     list_of_convs = is_object(first) & field(first, "messages").isNotNull()
     convs = (F.when(top_list.isNotNull(),
                     F.when(list_of_convs, top_list).otherwise(F.array(v)))

@@ -32,7 +32,7 @@ def _final_response(conv_json) -> F.Column:
         return F.coalesce(F.schema_of_variant(m).startswith("OBJECT"), F.lit(False)) & ~is_blank(content(m))
     asst = F.filter(msgs, lambda m: ok(m) & (F.try_variant_get(m, "$.role", "string") == "assistant"))
     anyr = F.filter(msgs, lambda m: ok(m))
-    pick = F.coalesce(F.element_at(asst, -1), F.element_at(anyr, -1))
+    pick = F.coalesce(F.try_element_at(asst, F.lit(-1)), F.try_element_at(anyr, F.lit(-1)))
     return strip_ws(F.try_variant_get(F.try_variant_get(pick, "$.content", "variant"), "$", "string"))
 
 
