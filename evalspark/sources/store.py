@@ -25,18 +25,31 @@ def read_all(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def write_store(tables: dict[str, DataFrame], root: str, mode: str = "errorifexists",
-                n_buckets: int | None = None) -> None:
-    """Write a snapshot. ``n_buckets`` hash-partitions runs/evaluations by run_id."""
+                n_buckets: int | None = None, table_prefix: str | None = None) -> None:
+    """Write a snapshot under ``root``.
+
+    ``n_buckets`` hash-partitions runs and evaluations by run_id. With
+    ``table_prefix`` they are also registered as bucketed catalog tables
+    (``<prefix>runs``, ``<prefix>evaluations``; same bucket count, sorted by
+    run_id), so a reader's run_id join uses the buckets and needs no shuffle —
+    read them back with ``spark.table``. Evaluations are partitioned on disk by
+    rubric either way, so rubric filters prune files.
+    """
     for name, df in tables.items():
         cols = [f.name for f in TABLES[name]] if name in TABLES else df.columns
         out = df.select(*cols)
-        w = out
-        if name in ("runs", "evaluations") and n_buckets:
-            w = out.repartition(n_buckets, "run_id")
+        path = f"{root.rstrip('/')}/{name}"
+        if name in ("runs", "evaluations") and n_buckets and table_prefix:
+            writer = out.write.mode(mode).bucketBy(n_buckets, "run_id").sortBy("run_id").option("path", path)
+            if name == "evaluations":
+                writer = writer.partitionBy("rubric")
+            writer.saveAsTable(f"{table_prefix}{name}")
+            continue
+        w = out.repartition(n_buckets, "run_id") if name in ("runs", "evaluations") and n_buckets else out
         writer = w.write.mode(mode)
         if name == "evaluations":
             writer = writer.partitionBy("rubric")
-        writer.parquet(f"{root.rstrip('/')}/{name}")
+        writer.parquet(path)
 
 
 def default_taxonomy(spark: SparkSession) -> DataFrame:
