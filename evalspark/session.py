@@ -24,6 +24,9 @@ BASE_CONF: dict[str, str] = {
     # static plans broadcast only below Spark's default 10 MB estimate; AQE may
     # switch to a broadcast join when the *measured* build side is under 64 MB
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # post-shuffle partitions are coalesced / split towards this size
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
@@ -54,6 +57,15 @@ def get_spark(master: str | None = None, app: str = "evalspark",
     return spark
 
 
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, cores: int = 1) -> int:
+    """Initial shuffle width for an input size: about one partition per
+    ``target_bytes`` of shuffled data (never fewer than the cores), so each
+    reduce task fits in executor memory; AQE then coalesces small ones and
+    splits skewed ones. 100 TB at 256 MB gives ~400k; ~20-50k is typical once
+    projections and partial aggregation have shrunk the shuffled bytes."""
+    return max(cores, -(-int(input_bytes) // int(target_bytes)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 

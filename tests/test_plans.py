@@ -64,3 +64,23 @@ def test_dedup_is_an_aggregate_not_a_window(spark):
                                 "metadata string, order long")
     p = _plan(IG.first_per_hash(raw))
     assert "Window" not in p and "min_by" in p.lower()
+
+
+def test_bucketed_store_joins_runs_and_evaluations_without_shuffle(spark, tmpdir_path):
+    from evalspark.plans.q_store import f2_store
+    import uuid
+    prefix = f"t{uuid.uuid4().hex[:8]}_"
+    root = os.path.join(tmpdir_path, "bstore")
+    ST.write_store(f2_store(spark, SF), root, n_buckets=4, table_prefix=prefix)
+    runs, evals = spark.table(prefix + "runs"), spark.table(prefix + "evaluations")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as at scale: sides too big to broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        j = A.scored_runs(runs, evals, ["human_pass"])
+        p = _plan(j)
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning(run_id" not in p
+        assert j.count() == evals.filter("rubric = 'human_pass'").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
