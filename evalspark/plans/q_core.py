@@ -356,3 +356,27 @@ from cmp group by model_a, model_b""", "f2_prompt_tags", "f2_runs", "f2_models",
     extra=compare_ctes(PAIRS_SQL, 1, 0.05, False)))
 def q_compare_overall(spark, d):
     return C.compare_overall(C.compare(f2_agg(spark, d), f2_pairs(spark, d), require_significance=False))
+
+
+F1_AGG_SQL = """
+select tag, model, count(*) as n, cast(sum(case when passed then 1 else 0 end) as bigint) as n_passed,
+       cast(sum(case when passed is not null then 1 else 0 end) as bigint) as n_known, avg(score) as avg_score
+from f1_doc_evals group by tag, model"""
+
+
+@register("f1_agg", with_views(F1_AGG_SQL, "f1_doc_evals"))
+def q_f1_agg(spark, d):
+    """The core aggregate over the text tables: documents are runs tagged by
+    language, sources are models, labels are human verdicts."""
+    from evalspark.plans.fixtures import f1_doc_evals
+    ev = f1_doc_evals(spark, d)
+    tags = ev.select(F.col("run_id").alias("prompt_id"), "tag")
+    runs = ev.select("run_id", F.col("run_id").alias("prompt_id"), "model",
+                     F.lit(None).cast("double").alias("cost_usd"), F.lit(None).cast("bigint").alias("latency_ms"))
+    evals = ev.select("run_id", "rubric", "score", "passed")
+    models = ev.select(F.col("model").alias("name")).distinct() \
+               .select("name", F.lit(None).cast("double").alias("size_params_b"),
+                       F.lit(None).cast("bigint").alias("context_window"))
+    a = A.agg_tag_model(tags, runs, models, evals, ["human_pass"])
+    return a.select("tag", "model", F.col("n_evals").alias("n"), "n_passed",
+                    F.col("n_passed_known").alias("n_known"), "avg_score")
