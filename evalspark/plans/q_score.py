@@ -405,3 +405,28 @@ def q_bench_run(spark, d):
     out = B.bench_run(raw, marker, None, None, models, None, empty(spark, "evaluations"),
                       bench_replies(spark, d, F1_MODELS), AS_OF, extra_rubrics=[NO_REFUSAL])
     return out["breakdown"]
+
+
+def _duck_repr(x: str) -> str:
+    """DuckDB spelling of the Python-repr quoting used in judge notes."""
+    e = (f"replace(replace(replace(replace({x}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), "
+         f"chr(9), '\\t')")
+    return (f"case when contains({x}, '''') and not contains({x}, '\"') then concat('\"', {e}, '\"') "
+            f"else concat('''', replace({e}, '''', '\\'''), '''') end")
+
+
+TURN_PATTERN = r"[a-z]+\.\n[A-Za-z]+"
+
+
+@register("judge_regex_turns", with_views(f"""
+select run_id, case when m then 1e0 else 0e0 end as score, m as passed,
+       case when m then concat('matched: ', {_duck_repr("substr(regexp_extract(response, '" + TURN_PATTERN + "'), 1, 80)")})
+            else 'no match for /{TURN_PATTERN}/' end as notes
+from (select run_id, response, regexp_matches(response, '{TURN_PATTERN}') as m from f1_turn_runs) x""",
+    "f1_turn_runs"))
+def q_judge_regex_turns(spark, d):
+    """Regex judge over whole conversation replies (multi-line, accented prose)."""
+    from evalspark.plans.fixtures import f1_turn_runs
+    r = f1_turn_runs(spark, d)
+    v = build_judge("regex", {"pattern": TURN_PATTERN})(F.col("prompt"), F.col("response"))
+    return r.select("run_id", v["score"].alias("score"), v["passed"].alias("passed"), v["notes"].alias("notes"))
