@@ -430,3 +430,17 @@ def q_judge_regex_turns(spark, d):
     r = f1_turn_runs(spark, d)
     v = build_judge("regex", {"pattern": TURN_PATTERN})(F.col("prompt"), F.col("response"))
     return r.select("run_id", v["score"].alias("score"), v["passed"].alias("passed"), v["notes"].alias("notes"))
+
+
+_NRT = contains_sql("response", none_of=NO_REFUSAL.judge_config["none_of"])
+
+
+@register("judge_contains_turns", with_views(
+    f"select run_id, {_NRT['score']} as score, {_NRT['passed']} as passed, {_NRT['notes']} as notes "
+    f"from f1_turn_runs", "f1_turn_runs"))
+def q_judge_contains_turns(spark, d):
+    """The shipped no_refusal rubric over whole conversation replies."""
+    from evalspark.plans.fixtures import f1_turn_runs
+    r = f1_turn_runs(spark, d)
+    v = NO_REFUSAL.judge()(F.col("prompt"), F.col("response"))
+    return r.select("run_id", v["score"].alias("score"), v["passed"].alias("passed"), v["notes"].alias("notes"))
