@@ -53,3 +53,21 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and "model" in df.columns
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 90
+
+
+def test_stream_score_is_idempotent(spark):
+    from evalspark.functions.rubrics import shipped
+    from evalspark.plans.fixtures import f4_runs
+    rub = shipped("no_refusal")
+    out = S.scratch(spark, "t-evals")
+
+    def run():
+        part = S.source_table(spark, SF, "part")
+        stream = f4_runs(spark, SF, part).withColumnRenamed("prompt", "content")
+        S.stream_score(stream, rub, out, S.scratch(spark, "t-ck"), as_of="2024-01-01 00:00:00")
+    run()
+    n1 = spark.read.parquet(out).count()
+    run()                                    # a fresh checkpoint replays every run
+    ev = spark.read.parquet(out)
+    assert ev.count() == n1 and ev.select("run_id").distinct().count() == n1
+    assert n1 == f4_runs(spark, SF).count()
