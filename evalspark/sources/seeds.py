@@ -98,14 +98,19 @@ def expand_templates(templates: DataFrame, slots: dict[str, Sequence[str]],
     expansion is an ``explode`` per slot on each template row (no join)."""
     keys = list(slots)
     t = templates.select(F.col(template_col).alias("template"))
-    names = F.regexp_extract_all(F.col("template"), F.lit(r"\{(\w+)\}"), 1)
+    # '{{' and '}}' are literal braces (str.format escapes): protect them first
+    lb, rb = "\u0000L", "\u0000R"
+    prot = F.replace(F.replace(F.col("template"), F.lit("{{"), F.lit(lb)), F.lit("}}"), F.lit(rb))
+    t = t.withColumn("_prot", prot)
+    names = F.regexp_extract_all(F.col("_prot"), F.lit(r"\{(\w*)\}"), 1)
     known = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
     t = t.filter(F.size(F.array_except(names, known)) == 0)
     for k in keys:
         t = t.withColumn(f"_s_{k}", F.explode(F.array(*[F.lit(v) for v in slots[k]])))
-    content = F.col("template")
+    content = F.col("_prot")
     for k in keys:
         content = F.replace(content, F.lit("{" + k + "}"), F.col(f"_s_{k}"))
+    content = F.replace(F.replace(content, F.lit(lb), F.lit("{")), F.lit(rb), F.lit("}"))
     slots_struct = F.struct(*[F.col(f"_s_{k}").alias(k) for k in keys]) if keys else F.struct()
     meta = F.to_json(F.struct(F.col("template").alias("template"), slots_struct.alias("slots"),
                               F.lit(intended_tag).cast("string").alias("intended_tag")))

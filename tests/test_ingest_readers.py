@@ -84,3 +84,9 @@ def test_lm_studio_openrouter_seed_templates(spark, tmpdir_path):
     out = SD.expand_templates(t, {"name": ["a", "b"], "unused": ["x", "y"]}, intended_tag="t").collect()
     assert sorted(r.content for r in out) == ["Hi a", "Hi a", "Hi b", "Hi b"]
     assert out[0].source_ref.startswith("tmpl:") and len(out[0].source_ref) == 13
+
+
+def test_template_brace_escapes(spark):
+    t = spark.createDataFrame([("JSON {{\"k\": \"{v}\"}}",), ("positional {}",)], "template string")
+    out = [r.content for r in SD.expand_templates(t, {"v": ["a"]}).collect()]
+    assert out == ['JSON {"k": "a"}']
