@@ -10,7 +10,7 @@ from evalspark.operators.scoring import Rubric
 
 BENCH_EXPECTED_RUBRIC = "bench:expected_contains"
 BENCH_TAG_CLASSIFIER = "bench"
-BENCH_DIR_META_KEY = "lemon_bench_dir"
+BENCH_DIR_META_KEY = "bench_dir"
 
 SHIPPED: dict[str, dict] = {
     "bullet_list_summary": {

@@ -73,13 +73,13 @@ def test_lm_studio_openrouter_seed_templates(spark, tmpdir_path):
     assert sorted((r.content, r.source_ref) for r in rows) == [("direct", "a"), ("no date", "c")]
     _write(tmpdir_path, "bench/prompts/math.jsonl",
            '{"prompt": "What is 2+2?", "category": "math", "expected_contains": ["4"]}\n\n"bare prompt"\n'
-           '{"text": "   "}\n{"content": "c", "tag": "x", "lemon_bench_dir": "mine"}\n')
+           '{"text": "   "}\n{"content": "c", "tag": "x", "bench_dir": "mine"}\n')
     rows = SD.read_bench(spark, os.path.join(tmpdir_path, "bench")).orderBy("source_ref").collect()
     assert [(r.content, r.source_ref) for r in rows] == [("What is 2+2?", "math.jsonl:0"), ("bare prompt", "math.jsonl:1"),
                                                         ("c", "math.jsonl:3")]
     m0 = json.loads(rows[0].metadata)
-    assert m0["intended_tag"] == "math" and m0["expected_contains"] == ["4"] and m0["lemon_bench_dir"].endswith("bench")
-    assert json.loads(rows[2].metadata)["lemon_bench_dir"] == "mine"      # record wins over overlay
+    assert m0["intended_tag"] == "math" and m0["expected_contains"] == ["4"] and m0["bench_dir"].endswith("bench")
+    assert json.loads(rows[2].metadata)["bench_dir"] == "mine"      # record wins over overlay
     t = spark.createDataFrame([("Hi {name}",), ("{name} and {missing}",)], "template string")
     out = SD.expand_templates(t, {"name": ["a", "b"], "unused": ["x", "y"]}, intended_tag="t").collect()
     assert sorted(r.content for r in out) == ["Hi a", "Hi a", "Hi b", "Hi b"]
