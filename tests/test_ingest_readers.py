@@ -90,3 +90,25 @@ def test_template_brace_escapes(spark):
     t = spark.createDataFrame([("JSON {{\"k\": \"{v}\"}}",), ("positional {}",)], "template string")
     out = [r.content for r in SD.expand_templates(t, {"v": ["a"]}).collect()]
     assert out == ['JSON {"k": "a"}']
+
+
+def test_reader_odd_shapes(spark, tmpdir_path):
+    _write(tmpdir_path, "g2/one.json", {"id": "solo", "messages": [
+        {"sender": "user", "content": "from dict", "created_at": "2024-04-01T00:00:00+02:00"},
+        {"role": "user", "content": 42}, "not a message"]})
+    _write(tmpdir_path, "g2/conv.json", {"conversations": [{"messages": [{"role": "human", "text": "hi"}]}]})
+    rows = EX.read_grok_export(spark, os.path.join(tmpdir_path, "g2")).orderBy("source_ref").collect()
+    got = [(r.content, r.source_ref) for r in rows]
+    assert ("from dict", "one.json#solo:0") in got and ("hi", "conv.json#conv:0") in got and len(got) == 2
+    solo = [r for r in rows if r.content == "from dict"][0]
+    assert str(solo.created_at).startswith("2024-03-31 22:00:00")       # offset normalised to UTC
+    _write(tmpdir_path, "lm2/bare.json", [{"role": "user", "text": "bare list", "time": 1700000000000},
+                                          {"role": "system", "content": "x"}])
+    _write(tmpdir_path, "lm2/broken.json", "[{")
+    rows = EX.read_lm_studio_logs(spark, os.path.join(tmpdir_path, "lm2")).collect()
+    assert [(r.content, r.source_ref) for r in rows] == [("bare list", "bare.json#bare:0")]
+    assert str(rows[0].created_at).startswith("2023-11-14 22:13:20")    # epoch milliseconds
+    _write(tmpdir_path, "c2/x.json", ["not a conversation", {"id": 7, "messages": [
+        {"role": "user", "content": "numeric id"}]}])
+    rows = EX.read_claude_export(spark, os.path.join(tmpdir_path, "c2")).collect()
+    assert [(r.content, r.source_ref) for r in rows] == [("numeric id", "7:0")]
