@@ -1,10 +1,12 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import simhash
+from evalspark.llm import packing, simhash, tokenfile
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
+    "op5_packing": packing.op5_packing,
+    "op6_tokens": tokenfile.op6_tokens,
 }
 
 ORACLE: dict[str, str] = {}
