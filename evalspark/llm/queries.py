@@ -1,12 +1,15 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import packing, simhash, tokenfile
+from evalspark.llm import decontam, packing, simhash, tokenfile
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op5_packing": packing.op5_packing,
     "op6_tokens": tokenfile.op6_tokens,
+    "op10_decontam": decontam.op10_decontam,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_decontam": decontam.ORACLE,
+}
