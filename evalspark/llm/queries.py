@@ -1,13 +1,14 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import decontam, packing, simhash, tokenfile, toxicity
+from evalspark.llm import decontam, packing, quality, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_tokens": tokenfile.op6_tokens,
+    "op7_quality": quality.op7_quality,
     "op10_decontam": decontam.op10_decontam,
 }
 
