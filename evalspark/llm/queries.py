@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import decontam, packing, quality, simhash, tokenfile, toxicity
+from evalspark.llm import decontam, packing, quality, simhash, tokenfile, toxicity, urls
 
 QUERIES = {
+    "op1_urls": urls.op1_urls,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
