@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import decontam, packing, quality, simhash, tokenfile, toxicity, urls
+from evalspark.llm import chat, decontam, packing, quality, simhash, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
+    "op2_chat": chat.op2_chat,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
     "op10_decontam": decontam.ORACLE,
 }
