@@ -283,8 +283,8 @@ def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-with dw as (select doc_id, text, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), x -> x <> '') as w from documents),
-iw as (select item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), x -> x <> '') as w from benchmark),
+with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents),
+iw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from benchmark),
 ig as (select distinct item_id, least(5, len(w)) as k, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as g
        from (select *, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from iw where len(w) > 0)),
 size as (select item_id, count(*) as n_shingles from ig group by item_id),
