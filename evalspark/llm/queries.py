@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import chat, decontam, extract, packing, quality, simhash, tokenfile, toxicity, urls
+from evalspark.llm import chat, decontam, extract, packing, quality, simhash, suffixes, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_tokens": tokenfile.op6_tokens,
     "op7_quality": quality.op7_quality,
+    "op8_suffix": suffixes.op8_suffix,
     "op9_extract": extract.op9_extract,
     "op10_decontam": decontam.op10_decontam,
 }
