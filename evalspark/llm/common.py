@@ -18,6 +18,8 @@ from evalspark.session import checkpoint_dir
 
 #: rows of one Arrow batch sent to Python: documents are long, so batches are short
 ARROW_ROWS = 1000
+#: measured bytes up to which adaptive execution may broadcast a side of a join
+BROADCAST = "32MB"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings of the operators: short Arrow batches of long texts."""
+    """Session settings of the operators: short Arrow batches of long texts, small broadcasts.
+
+    Adaptive execution broadcasts a side only once its measured size is below the
+    threshold; beyond it the join is by shuffle, and skewed keys are split.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", BROADCAST)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

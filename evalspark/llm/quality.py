@@ -21,7 +21,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import stored, table
+from evalspark.llm.common import stored, table, tune
 
 #: rules: fewer words, and a larger percentage of words in repeated windows, fail
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -190,6 +190,7 @@ def judge(docs: DataFrame, least: int = GROUP, cutoff: float = CUTOFF) -> DataFr
     serve constant statistics. Extra columns are ignored; an empty table gives an
     empty one.
     """
+    tune(docs.sparkSession)
     rows = stored(ruled(measured(docs)), "quality")
     good = rows.where("not base_failed")
     key = stored(grouped(good, least), "quality-groups")

@@ -198,7 +198,6 @@ def read(tables: dict[str, DataFrame]) -> DataFrame:
 
 def op6_tokens(spark, sf_dir: str) -> DataFrame:
     """Contract query: every document written and read back, with a checksum of its ids."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     back = read(write(table(spark, sf_dir, "documents")))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

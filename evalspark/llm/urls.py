@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import stored, table, width_for
+from evalspark.llm.common import stored, table, tune, width_for
 
 #: labelled urls a rule must hold for (share of them, and number), and its least confidence
 SUPPORT, LEAST_URLS, CONFIDENCE = 0.002, 20, 0.8
@@ -126,6 +126,7 @@ def judge(urls: DataFrame, labels: DataFrame, rules: DataFrame, default: str = "
     null url, or one without '://', has an empty host and path. Rows, ids and
     columns stay as they are, but columns named like the added ones are replaced.
     """
+    tune(urls.sparkSession)
     added = ("url_host", "url_path", "url_query", "rule", "rules", "verdict", "mined", "confidence", "tokens")
     d = parts(urls.drop(*added)).withColumn("tokens", tokens())
     index = mine(parts(labels.select("url", "bad")).select(tokens().alias("tokens"), "bad"), support, least, confidence)
