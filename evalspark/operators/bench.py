@@ -67,6 +67,7 @@ def bench_run(raw: DataFrame, marker: str, stored_prompts: DataFrame | None, pro
     prompts = loaded["new"] if stored_prompts is None else stored_prompts.unionByName(
         loaded["new"], allowMissingColumns=True)
     tags = tag_intended(prompts, prompt_tags, marker=marker)
+    all_tags = tags if prompt_tags is None else prompt_tags.select("prompt_id", "tag").unionByName(tags.select("prompt_id", "tag"))
     bench = bench_prompts(prompts, marker)
     work = fanout_work(bench, models, runs, model_names=model_names, skip_existing=skip_existing)
     fan = fanout_replay(work, replies, models, created_at)
@@ -77,7 +78,7 @@ def bench_run(raw: DataFrame, marker: str, stored_prompts: DataFrame | None, pro
     evals = scored["evaluations"]
     extra_counts = []
     for rub in extra_rubrics:
-        r = score_runs(rub, all_runs, prompts, evals, prompt_tags=tags, as_of=created_at,
+        r = score_runs(rub, all_runs, prompts, evals, prompt_tags=all_tags, as_of=created_at,
                        mode="skip" if skip_existing else "append")
         evals = r["evaluations"]
         extra_counts.append(r["counters"].select(F.col("evaluations_written").alias(f"_x{len(extra_counts)}")))

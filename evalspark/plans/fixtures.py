@@ -12,6 +12,7 @@ F4 templated prompt text over part, with scripted replies for the judges.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,34 +20,18 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
                "embeddings pages benchmark labels conversations").split()
 
 
-REBALANCE_BYTES = 8 << 20
-
-
-def _file_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+#: session setting: partitions that every table is dealt to as it is read (unset: as the files are split)
+INPUT_PARTITIONS = "spark.evalspark.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table.
-
-    The test files hold a single row group each, so a large one would be scanned
-    by one task and everything before its first shuffle would run on one core.
-    A single-file input above ``REBALANCE_BYTES`` is therefore rebalanced
-    round-robin to about one partition per 4 MB (capped at the parallelism).
-    Real inputs arrive as many files / row groups and are left alone."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    try:
-        size = _file_bytes(spark, path)
-    except Exception:  # noqa: BLE001 - metadata only; never fail a read over it
-        return df
-    if size > REBALANCE_BYTES and len(df.inputFiles()) == 1:
-        n = min(spark.sparkContext.defaultParallelism, max(2, size // (4 << 20)))
-        df = df.repartition(int(n))
-    return df
+    """Read one driver table, split as its files and row groups are.
+
+    A table in one row group is one task up to its first shuffle; a session can
+    deal every table it reads to more partitions by ``INPUT_PARTITIONS``."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 # ------------------------------------------------------------------ F2 (Spark)
@@ -143,8 +128,8 @@ def materialize_f2(spark: SparkSession, d: str) -> str:
         return _F2_STORE[key]
     tag = uuid.uuid4().hex[:12]
     root = f"{checkpoint_dir(spark).rstrip('/')}/f2-{tag}"
-    # bucket count for the fixture store: the session's shuffle width, capped
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 64))
+    # as many buckets as the session's shuffles have partitions, at any size
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         (f2_runs(spark, d).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
             .option("path", f"{root}/runs").saveAsTable(f"f2_runs_{tag}"))
@@ -152,7 +137,7 @@ def materialize_f2(spark: SparkSession, d: str) -> str:
         (f2_evaluations(spark, d, runs).write.mode("overwrite").bucketBy(n, "run_id").sortBy("run_id")
             .option("path", f"{root}/evaluations").saveAsTable(f"f2_evaluations_{tag}"))
         _F2_BUCKETED.add(tag)
-    except Exception:  # noqa: BLE001 - no usable catalog: plain hash-partitioned Parquet
+    except AnalysisException:  # the session's catalog takes no tables: plain hash-partitioned Parquet
         f2_runs(spark, d).repartition(n, "run_id").write.mode("overwrite").parquet(f"{root}/runs")
         runs = spark.read.parquet(f"{root}/runs")
         f2_evaluations(spark, d, runs).repartition(n, "run_id").write.mode("overwrite").parquet(f"{root}/evaluations")

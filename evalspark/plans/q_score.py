@@ -207,7 +207,7 @@ select cast(o_orderkey as varchar) as run_id,
 from (select o_orderkey, o_orderkey % 5 as k5, o_orderkey % 6 as s from orders) t""")
 def q_judge_llm(spark, d):
     r = judge_replies(spark, d)
-    v = build_judge("llm", {"pass_threshold": 4, "judge_model": "judge-m"})(F.lit(""), F.col("reply"))
+    v = build_judge("llm", {"pass_threshold": 4, "model": "judge-m"})(F.lit(""), F.col("reply"))
     return r.select("run_id", v["score"].alias("score"), v["passed"].alias("passed"), v["notes"].alias("notes"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.plans.fixtures import f2_models, f2_prompt_tags, with_views
 from evalspark.plans.q_ingest import DEDUP_CTES
-from evalspark.plans.q_score import NO_REFUSAL, _NR
+from evalspark.plans.q_score import NO_REFUSAL, SCOPED, _NR, _score_sql, f4_prompt_tags
 from evalspark.plans.registry import register
 from evalspark.streaming import ops as S
 
@@ -41,6 +41,17 @@ def q_stream_score(spark, d):
     return spark.read.parquet(out).select("run_id", "rubric", "score", "passed")
 
 
+@register("stream_score_tags", with_views("select run_id, rubric, score, passed from new", "f4_prompts", "f4_runs",
+                                          extra=_score_sql("append", SCOPED, True)))
+def q_stream_score_tags(spark, d):
+    """A rubric with applies_to_tags over a stream: only runs whose prompt carries a tag."""
+    from evalspark.plans.fixtures import f4_runs
+    out = S.scratch(spark, "stream-evals")
+    runs_stream = f4_runs(spark, d, S.source_table(spark, d, "part"))
+    S.stream_score(runs_stream, SCOPED, out, S.scratch(spark, "ckpt"), as_of="2024-06-01 00:00:00", prompt_tags=f4_prompt_tags(spark, d))
+    return spark.read.parquet(out).select("run_id", "rubric", "score", "passed")
+
+
 # The stream's events are line items as they arrive (each one a scored run);
 # the batch F2 view additionally merges the rare duplicate line keys.
 STREAM_AGG_SQL = """
@@ -75,7 +86,7 @@ def q_stream_agg(spark, d):
                         (F.col("l_quantity") * 100).cast("int").alias("latency_ms"))
                 .join(models.select("model_key", F.col("name").alias("model")), "model_key"))
     S.stream_agg_tag_model(scored, f2_prompt_tags(spark, d), models, out, S.scratch(spark, "ckpt"))
-    return spark.read.parquet(out).select("tag", "model", "size_params_b", "context_window", "n_evals", "n_passed",
+    return S.latest_version(spark, out).select("tag", "model", "size_params_b", "context_window", "n_evals", "n_passed",
                                           "n_passed_known", "avg_score", "avg_cost_usd", "avg_latency_ms")
 
 

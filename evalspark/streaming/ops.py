@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import aggregate as A
 from evalspark.operators import ingest as IG
-from evalspark.operators.scoring import Rubric
+from evalspark.operators.scoring import Rubric, decide, judged
 from evalspark.session import checkpoint_dir
 
 
@@ -70,31 +70,22 @@ def stream_ingest_dedup(raw_stream: DataFrame, store_dir: str, checkpoint: str,
 # ---------------------------------------------------------------- scoring
 
 def stream_score(runs_stream: DataFrame, rubric: Rubric, out_dir: str, checkpoint: str,
-                 prompts: DataFrame | None = None, as_of=None) -> None:
-    """Judge new runs and append evaluations, skipping (run, rubric, hash)
-    rows already present. ``runs_stream`` needs run_id, prompt_id, response
-    (and the prompt's content / source_metadata, or a static ``prompts``)."""
-    judge = rubric.judge()
-    current = rubric.config_hash()
+                 prompts: DataFrame | None = None, as_of=None, prompt_tags: DataFrame | None = None,
+                 replies: DataFrame | None = None) -> None:
+    """Judge new runs and append evaluations, by the decision of ``score_runs``:
+    runs with an up-to-date row (hash NULL or equal), a blank response, no
+    applicable tag or no recorded reply are skipped. ``runs_stream`` needs run_id,
+    prompt_id, response; ``prompts`` their metadata, ``prompt_tags`` their tags."""
     scored_by = "llm" if rubric.judge_kind == "llm" else "auto"
     ts = F.current_timestamp() if as_of is None else F.to_timestamp(F.lit(str(as_of)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        b = batch
-        if prompts is not None:
-            b = b.join(prompts.select("prompt_id", "content", "source_metadata"), "prompt_id", "left")
-        from evalspark.functions.judges import is_blank
-        b = b.filter(~is_blank(F.col("response")))
-        v = judge(F.coalesce(F.col("content"), F.lit("")), F.col("response"), F.col("source_metadata"))
-        rows = b.select("run_id", F.lit(rubric.name).alias("rubric"), F.lit(current).alias("rubric_hash"),
-                        v["score"].alias("score"), v["passed"].alias("passed"), F.lit(scored_by).alias("scored_by"),
-                        v["notes"].alias("notes"), ts.alias("created_at"))
-        if _exists(spark, out_dir):
-            done = (spark.read.parquet(out_dir).filter((F.col("rubric") == rubric.name) & (F.col("rubric_hash") == current))
-                    .select("run_id"))
-            rows = rows.join(done, "run_id", "left_anti")
-        rows.write.mode("append").parquet(out_dir)
+        known = spark.read.parquet(out_dir) if _exists(spark, out_dir) else None
+        meta = prompts if prompts is not None else (batch.select("prompt_id", "source_metadata").dropDuplicates(["prompt_id"])
+                                                    if "source_metadata" in batch.columns else None)
+        todo = decide(rubric, batch, known, prompt_tags, replies)
+        judged(rubric, todo, batch, meta, replies, scored_by, ts).write.mode("append").parquet(out_dir)
     run_available_now(runs_stream, sink, checkpoint)
 
 
@@ -112,10 +103,23 @@ def stream_agg_tag_model(scored_stream: DataFrame, prompt_tags: DataFrame, model
            .agg(*A._measures()))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        A.with_derived(batch).write.mode("overwrite").parquet(out_dir)
+        # a folder of its own per batch: readers of the last version are never cut off, a replay rewrites its own
+        A.with_derived(batch).write.mode("overwrite").parquet(f"{out_dir}/version={batch_id}")
     run_available_now(agg, sink, checkpoint, output_mode="complete")
 
 
+def latest_version(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The last complete version that a versioned sink wrote."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
+    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        raise ValueError(f"no complete version under {out_dir}")
+    return spark.read.parquet(max(done, key=lambda p: int(p.getName().split("=")[1])).toString())
+
+
 def stream_run_health(runs_stream: DataFrame, out_dir: str, checkpoint: str,
                       window: str = "1 day", watermark: str = "1 day") -> None:
     """Daily (event-time) runs, errors, cost and latency per model."""
