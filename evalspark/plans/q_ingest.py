@@ -298,7 +298,7 @@ def openrouter_docs(spark, d):
                    F.when(k == 0, F.concat(F.lit(', "prompt": '), jstr(first_user)))
                     .otherwise(F.concat(F.lit(', "messages": ['), F.array_join(msgs, ","), F.lit("]"))),
                    F.lit("}"))
-    files = g.select((F.col("conv_id") % 4).alias("f"), rec.alias("rec"))
+    files = g.select(F.floor(F.col("conv_id") / 8).alias("f"), rec.alias("rec"))  # eight records a file
     return (files.groupBy("f").agg(F.array_join(F.array_sort(F.collect_list("rec")), ",").alias("recs"))
                  .select(F.concat(F.lit("/exports/or/history-"), F.col("f").cast("string"), F.lit(".json")).alias("path"),
                          F.when(F.col("f") % 2 == 0, F.concat(F.lit("["), F.col("recs"), F.lit("]")))
@@ -313,9 +313,10 @@ def seed_docs(spark, d):
                  F.col("text").alias("prompt"), F.concat(F.lit("cat"), k.cast("string")).alias("tag"),
                  F.array(F.substring_index("text", " ", 1)).alias("expected_contains"),
                  F.col("item_id").alias("item")))))
-    files = b.select(k.alias("f"), F.struct("item_id", line.alias("line")).alias("x"))
+    part = F.lpad(F.floor(F.col("item_id") / 32).cast("string"), 12, "0")  # eight records a file
+    files = b.select(F.concat(k.cast("string"), F.lit("-"), part).alias("f"), F.struct("item_id", line.alias("line")).alias("x"))
     return (files.groupBy("f").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-                 .select(F.concat(F.lit("/bench/f1/prompts/cat"), F.col("f").cast("string"), F.lit(".jsonl")).alias("path"),
+                 .select(F.concat(F.lit("/bench/f1/prompts/cat"), F.col("f"), F.lit(".jsonl")).alias("path"),
                          F.array_join(F.transform("xs", lambda x: x["line"]), "\n\n").alias("text")))
 
 
@@ -363,8 +364,8 @@ def q_openrouter(spark, d):
 
 @register("read_seed_prompts", """
 select text as content, 'self_generated:seed' as source,
-       concat('cat', cast(item_id % 4 as varchar), '.jsonl:',
-              cast(row_number() over (partition by item_id % 4 order by item_id) - 1 as varchar)) as source_ref,
+       concat('cat', cast(item_id % 4 as varchar), '-', lpad(cast(item_id // 32 as varchar), 12, '0'), '.jsonl:',
+              cast(row_number() over (partition by item_id % 4, item_id // 32 order by item_id) - 1 as varchar)) as source_ref,
        cast(null as timestamp) as created_at
 from benchmark""")
 def q_seed(spark, d):

@@ -3,10 +3,11 @@
 Each reader is two steps: ``read_documents`` (one row per file: path, text —
 Spark lists and reads the files in parallel; one task per file) and a
 ``parse_*`` function from that document DataFrame to raw prompt records
-(content, source, source_ref, created_at, metadata, order). Parsing uses
-Spark's VARIANT type so the lenient "try this key, then that one" rules are
-plain column expressions; files that are not valid JSON parse to NULL and
-are skipped.
+(content, source, source_ref, created_at, metadata, order). A document is cut
+into its conversations first (``records``), so its size is no limit; parsing
+uses Spark's VARIANT type so the lenient "try this key, then that one" rules are
+plain column expressions. ``rejects`` lists every file that is not one JSON
+value and every record too long to parse, with the reason.
 """
 from __future__ import annotations
 
@@ -15,10 +16,20 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.judges import strip_ws
 from evalspark.functions.text import epoch_to_timestamp, parse_timestamp
+from evalspark.sources.records import records
 
 ARR = "array<variant>"
 
 
+def rejects(docs: DataFrame, kind: str) -> DataFrame:
+    """(path, record, reason) of what a reader of this kind cannot read."""
+    return records(docs, kind).where("reject is not null").select("path", F.col("base").alias("record"), F.col("reject").alias("reason"))
+
+
+def _records(docs: DataFrame, kind: str) -> DataFrame:
+    return records(docs, kind).where("reject is null")
+
+
 def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Whole files under ``path`` (recursive) as (path, text)."""
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
@@ -128,10 +139,11 @@ def _name(path: Column) -> Column:
 # ---------------------------------------------------------------- Claude-style export
 
 def parse_claude_export(docs: DataFrame) -> DataFrame:
+    docs = _records(docs, "claude")
     v = F.try_parse_json("text")
     convs = F.coalesce(F.try_variant_get(v, "$", ARR), list_field(v, "conversations"),
                        F.array().cast(ARR))
-    c = docs.select("path", F.posexplode(convs).alias("ci", "conv")).filter(is_object(F.col("conv")))
+    c = docs.select("path", F.col("base").alias("ci"), F.explode(convs).alias("conv")).filter(is_object(F.col("conv")))
     conv = F.col("conv")
     c = c.select("path", "ci",
                  F.coalesce(first_text(conv, "uuid", "id"), F.lit("unknown")).alias("conv_id"),
@@ -165,6 +177,7 @@ def read_claude_export(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- Grok-style export
 
 def parse_grok_export(docs: DataFrame) -> DataFrame:
+    docs = _records(docs, "grok")
     v = F.try_parse_json("text")
     top_list = F.try_variant_get(v, "$", ARR)
     first = F.try_element_at(top_list, F.lit(1))
@@ -176,7 +189,7 @@ def parse_grok_export(docs: DataFrame) -> DataFrame:
               .otherwise(F.array().cast(ARR)))
     # a bare message list becomes one conversation whose messages are the list
     bare = top_list.isNotNull() & ~list_of_convs
-    c = docs.select("path", F.posexplode(convs).alias("ci", "conv"),
+    c = docs.select("path", F.col("base").alias("ci"), F.explode(convs).alias("conv"),
                     bare.alias("bare"), top_list.alias("top"))
     conv = F.col("conv")
     msgs = F.when(F.col("bare"), F.col("top")).otherwise(list_field(conv, "messages"))
@@ -205,6 +218,7 @@ def read_grok_export(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- LM Studio logs
 
 def parse_lm_studio_logs(docs: DataFrame) -> DataFrame:
+    docs = _records(docs, "lm_studio")
     v = F.try_parse_json("text")
     keys = ("messages", "turns", "history", "chat", "conversation")
     msgs = F.coalesce(F.try_variant_get(v, "$", ARR), *[list_field(v, k) for k in keys], F.array().cast(ARR))
@@ -243,9 +257,10 @@ def read_lm_studio_logs(spark: SparkSession, path: str) -> DataFrame:
 def parse_openrouter_history(docs: DataFrame, cutoff=None) -> DataFrame:
     """``cutoff`` (timestamp text) replaces now() - since: a record is dropped
     only when it has a creation time and that time is before the cutoff."""
+    docs = _records(docs, "openrouter")
     v = F.try_parse_json("text")
     recs = F.coalesce(F.try_variant_get(v, "$", ARR), list_field(v, "data"), F.array().cast(ARR))
-    r = docs.select("path", F.posexplode(recs).alias("ri", "rec")).filter(is_object(F.col("rec")))
+    r = docs.select("path", F.col("base").alias("ri"), F.explode(recs).alias("rec")).filter(is_object(F.col("rec")))
     rec = F.col("rec")
     created = ts_field(rec, "created_at", "created")
     direct = F.coalesce(*[F.nullif(strip_ws(str_field(rec, k)), F.lit("")) for k in ("prompt", "input", "user_prompt")])

@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.jsontext import json_value
 from evalspark.functions.judges import strip_ws
 from evalspark.functions.rubrics import BENCH_DIR_META_KEY
 from evalspark.sources.exports import _name, first_text, read_documents
+from evalspark.sources.records import read_lines, records
 
 CONTENT_KEYS = ("prompt", "content", "text")
 TAG_KEYS = ("intended_tag", "tag", "category")
@@ -29,20 +31,31 @@ def _overlay_map(overlay: dict | None) -> Column | None:
 
 def parse_seed_prompts(docs: DataFrame, overlay: dict | None = None) -> DataFrame:
     """Documents (path, text) of JSONL (``.jsonl``) or JSON (list or one
-    object) -> raw prompt records.
+    object) -> raw prompt records. Large JSONL files are better read by
+    ``read_seed_prompts``, line by line."""
+    is_jsonl = F.lower(F.col("path")).endswith(".jsonl")
+    lines = F.filter(F.split(F.col("text"), r"\r\n|\r|\n"), lambda s: strip_ws(s) != "")
+    by_line = docs.where(is_jsonl).select("path", F.posexplode(lines).alias("idx", "text"))
+    return parse_seed_records(by_line.unionByName(_whole(docs.where(~is_jsonl))), overlay)
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """JSON documents (a list or one value) as records (path, idx, text)."""
+    each = records(docs, "seeds").where("reject is null")
+    listed = F.try_variant_get(F.try_parse_json("text"), "$", "array<string>").isNotNull()
+    return each.select("path", F.col("base").cast("int").alias("idx"),
+                       F.when(listed, F.expr("substring(text, 2, length(text) - 2)")).otherwise(F.col("text")).alias("text"))
+
+
+def parse_seed_records(r: DataFrame, overlay: dict | None = None) -> DataFrame:
+    """Records (path, idx, text), one JSON value each -> raw prompt records.
 
     A record is a string or an object; content = prompt / content / text;
     intended_tag / tag / category become ``intended_tag``; other keys are
     kept; the caller's ``overlay`` loses to record keys. ``source_ref`` is
     ``<file name>:<record index>`` counting every record, skipped ones too.
     """
-    is_jsonl = F.lower(F.col("path")).endswith(".jsonl")
-    lines = F.filter(F.split(F.col("text"), r"\r\n|\r|\n"), lambda s: strip_ws(s) != "")
-    whole = F.try_parse_json("text")
-    as_list = F.try_variant_get(whole, "$", "array<variant>")
-    recs = F.when(is_jsonl, F.transform(lines, lambda s: F.try_parse_json(s))) \
-            .otherwise(F.coalesce(as_list, F.array(whole)))
-    r = docs.select("path", F.posexplode(recs).alias("idx", "rec"))
+    r = r.select("path", "idx", json_value(F.col("text")).alias("rec"))
     rec = F.col("rec")
     t = F.schema_of_variant(rec)
     is_obj = F.coalesce(t.startswith("OBJECT"), F.lit(False))
@@ -71,7 +84,10 @@ def parse_seed_prompts(docs: DataFrame, overlay: dict | None = None) -> DataFram
 
 def read_seed_prompts(spark: SparkSession, path: str, overlay: dict | None = None,
                       glob: str = "*.json*") -> DataFrame:
-    return parse_seed_prompts(read_documents(spark, path, glob), overlay)
+    """Seed files under ``path``: JSONL by line (a file of any size is split), JSON by document."""
+    lines = read_lines(spark, path, glob).where(F.lower(F.col("path")).endswith(".jsonl"))
+    docs = read_documents(spark, path, glob).where(~F.lower(F.col("path")).endswith(".jsonl"))
+    return parse_seed_records(lines.unionByName(_whole(docs)), overlay)
 
 
 def bench_marker(bench_dir: str) -> str:

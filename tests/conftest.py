@@ -14,7 +14,7 @@ def spark():
     from evalspark.session import get_spark
     ckpt = tempfile.mkdtemp(prefix="evalspark-test-ckpt-")
     s = get_spark("local[4]", app="evalspark-tests", shuffle_partitions=4,
-                  extra={"spark.checkpoint.dir": ckpt,
+                  extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g",
                          "spark.local.dir": tempfile.mkdtemp(prefix="evalspark-test-local-")})
     yield s
     s.stop()
