@@ -179,14 +179,15 @@ def group_by_first_key(agg: DataFrame) -> DataFrame:
                     F.array_sort(F.collect_list(F.struct("model", "n_evals", "pass_rate"))).alias("rows")))
 
 
-def heatmap(agg: DataFrame, model_names: Sequence[str] | None = None,
-            value: str = "pass_rate", fill=None) -> DataFrame:
-    """tag x model matrix of ``value``. Passing ``model_names`` fixes the
-    columns and skips Spark's distinct-values pass; missing cells get ``fill``.
-    The width is the number of models (a dimension table), not the data."""
-    g = agg.groupBy("tag")
-    piv = (g.pivot("model", list(model_names)) if model_names is not None else g.pivot("model"))
-    piv = piv.agg(F.first(value))
+def heatmap_cells(agg: DataFrame, value: str = "pass_rate") -> DataFrame:
+    """The matrix in long form: one row (tag, model, value) per cell that has data."""
+    return agg.select("tag", "model", F.col(value).alias("value"))
+
+
+def heatmap(agg: DataFrame, model_names: Sequence[str], value: str = "pass_rate", fill=None) -> DataFrame:
+    """tag x model matrix of ``value`` for the models named, in that order; missing
+    cells get ``fill``. For all models of a table take :func:`heatmap_cells`."""
+    piv = agg.groupBy("tag").pivot("model", list(model_names)).agg(F.first(value))
     if fill is not None:
         piv = piv.fillna(fill, subset=[c for c in piv.columns if c != "tag"])
     return piv

@@ -281,20 +281,19 @@ def q_group_first(spark, d):
                     F.array_join(F.transform("rows", lambda r: r["model"]), ",").alias("models"))
 
 
-HEAT_SQL = """
-pivot (select tag, model, {v} from agg) on model using first({v}) group by tag"""
+HEAT_SQL = "select tag, model, {v} as value from agg"
 
 
 @register("heatmap", with_views(HEAT_SQL.format(v="pass_rate"), "f2_prompt_tags", "f2_runs", "f2_models",
                                 "f2_evaluations", extra=agg_ctes()))
 def q_heatmap(spark, d):
-    return A.heatmap(f2_agg(spark, d), None, "pass_rate")
+    return A.heatmap_cells(f2_agg(spark, d), "pass_rate")
 
 
 @register("heatmap_n", with_views(HEAT_SQL.format(v="n_evals"), "f2_prompt_tags", "f2_runs", "f2_models",
                                   "f2_evaluations", extra=agg_ctes()))
 def q_heatmap_n(spark, d):
-    return A.heatmap(f2_agg(spark, d), None, "n_evals", fill=0)
+    return A.heatmap_cells(f2_agg(spark, d), "n_evals")
 
 
 def compare_ctes(pairs_sql: str, min_samples=1, tie=0.05, require_sig=True) -> dict[str, str]:

@@ -11,7 +11,7 @@ def _agg(spark):
 def test_heatmap_and_fill(spark):
     h = {r.tag: r for r in A.heatmap(_agg(spark), ["a", "b"], "pass_rate").collect()}
     assert h["coding"]["a"] == 0.5 and h["math"]["b"] is None
-    n = {r.tag: r for r in A.heatmap(_agg(spark), None, "n_evals", fill=0).collect()}
+    n = {r.tag: r for r in A.heatmap(_agg(spark), ["a", "b"], "n_evals", fill=0).collect()}
     assert n["math"]["b"] == 0 and n["coding"]["b"] == 2
 
 
