@@ -172,11 +172,11 @@ def stats_by_model(agg: DataFrame, tags: Sequence[str] | None = None,
 
 
 def group_by_first_key(agg: DataFrame) -> DataFrame:
-    """Rows per tag as one nested list (bounded by the number of models)."""
-    return (agg.groupBy("tag")
-               .agg(F.count(F.lit(1)).alias("n_models"),
-                    F.sum("n_evals").alias("n_evals"),
-                    F.array_sort(F.collect_list(F.struct("model", "n_evals", "pass_rate"))).alias("rows")))
+    """Rows of each tag with the tag's totals: (tag, model, n_evals, pass_rate, n_models, tag_evals).
+
+    Long form: a tag with any number of models is that many rows, never one."""
+    totals = agg.groupBy("tag").agg(F.count(F.lit(1)).alias("n_models"), F.sum("n_evals").alias("tag_evals"))
+    return agg.select("tag", "model", "n_evals", "pass_rate").join(totals, "tag")
 
 
 def heatmap_cells(agg: DataFrame, value: str = "pass_rate") -> DataFrame:

@@ -6,14 +6,14 @@ same set gets the same candidates and the same pick. So the candidate work is
 prompts meet their pick in one join on the tag-set key (broadcast by AQE when
 the pick table is small, which it is: one row per tag set).
 
-Windows below only run over candidate tables (one partition per tag set with at
-most one row per model), never over raw prompts or runs.
+Axes are normalised by grouped minima and maxima joined back, never by a window
+over a tag or a tag set; tag sets are arrays, so a tag may hold any sign.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.metrics import lower_is_better
@@ -69,35 +69,30 @@ def score_candidates(cands: DataFrame, weights: Weights, partition_cols: list[st
     """
     w = weights.normalize()
     sel = F.lit(True) if where is None else where
-    win = Window.partitionBy(*partition_cols)
-
-    def grp(fn, c):
-        return fn(F.when(sel, c)).over(win)
-
-    max_known = grp(F.max, F.col("size_params_b"))
-    min_known = grp(F.min, F.col("size_params_b"))
-    size_v = F.coalesce(F.col("size_params_b"), max_known, F.lit(1e9))
-    cost_v = F.coalesce(F.col("avg_cost_usd"), F.lit(0.0))
-    lat_v = F.coalesce(F.col("avg_latency_ms"), F.lit(0.0))
-    size_ax = lower_is_better(size_v, F.coalesce(min_known, F.lit(1e9)),
-                              F.coalesce(max_known, F.lit(1e9)))
-    cost_ax = lower_is_better(cost_v, grp(F.min, cost_v), grp(F.max, cost_v))
-    lat_ax = lower_is_better(lat_v, grp(F.min, lat_v), grp(F.max, lat_v))
-    comp = (F.lit(w.size) * size_ax + F.lit(w.cost) * cost_ax + F.lit(w.latency) * lat_ax)
-    return cands.withColumn("composite_score", F.when(sel, comp))
+    cost, latency = F.coalesce(F.col("avg_cost_usd"), F.lit(0.0)), F.coalesce(F.col("avg_latency_ms"), F.lit(0.0))
+    ends = [f(c).alias(f"_{n}_{c0}") for c0, c in (("size", F.col("size_params_b")), ("cost", cost), ("latency", latency))
+            for n, f in (("min", F.min), ("max", F.max))]
+    limits = cands.where(sel).groupBy(*partition_cols).agg(*ends)  # partial minima and maxima, one row per group
+    out = cands.join(limits, partition_cols, "left")
+    unknown = F.lit(1e9)
+    axes = (w.size * lower_is_better(F.coalesce("size_params_b", "_max_size", unknown), F.coalesce("_min_size", unknown),
+                                     F.coalesce("_max_size", unknown))
+            + w.cost * lower_is_better(cost, F.col("_min_cost"), F.col("_max_cost"))
+            + w.latency * lower_is_better(latency, F.col("_min_latency"), F.col("_max_latency")))
+    return out.select(*cands.columns, F.when(sel, axes).alias("composite_score"))
 
 
 def prompt_tag_sets(prompt_tags: DataFrame) -> DataFrame:
-    """prompt_id -> comma-joined sorted set of its non-unknown tags."""
+    """prompt_id -> sorted array of its non-unknown tags."""
     return (prompt_tags.filter(F.col("tag") != "unknown")
             .groupBy("prompt_id")
-            .agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tagset")))
+            .agg(F.array_sort(F.collect_set("tag")).alias("tagset")))
 
 
 def tag_set_members(tag_sets: DataFrame) -> DataFrame:
     """(tagset, tag) for every distinct tag set."""
     return (tag_sets.select("tagset").distinct()
-            .select("tagset", F.explode(F.split("tagset", ",")).alias("tag")))
+            .select("tagset", F.explode("tagset").alias("tag")))
 
 
 def route_candidates(agg: DataFrame, tag_sets: DataFrame, weights: Weights | str = "size",
@@ -141,7 +136,7 @@ def recommend(prompts: DataFrame, prompt_tags: DataFrame, agg: DataFrame,
     picks = pick_per_tag_set(route_candidates(agg, tag_sets, weights, threshold, min_samples))
     per_prompt = prompts.select("prompt_id").join(tag_sets, "prompt_id", "left")
     return (per_prompt.join(picks, "tagset", "left")
-            .select("prompt_id", "tagset", "model", "fallback",
+            .select("prompt_id", F.array_join("tagset", ",").alias("tagset"), "model", "fallback",
                     F.when(F.col("model").isNull(), F.lit("no_stats"))
                      .when(F.col("fallback"), F.lit("fallback"))
                      .otherwise(F.lit("qualified")).alias("reason"),

@@ -176,7 +176,7 @@ def q_stats_by_model(spark, d):
 def q_route_candidates(spark, d):
     f = F2(spark, d)
     agg = f2_agg(spark, d)
-    return R.route_candidates(agg, R.prompt_tag_sets(f.prompt_tags), BAL)
+    return R.route_candidates(agg, R.prompt_tag_sets(f.prompt_tags), BAL).withColumn("tagset", F.array_join("tagset", ","))
 
 
 RECOMMEND_BODY = """
@@ -207,7 +207,7 @@ def q_recommend_size(spark, d):
 def q_score_candidates(spark, d):
     f = F2(spark, d)
     c = R.route_candidates(f2_agg(spark, d), R.prompt_tag_sets(f.prompt_tags), "fast")
-    return c.select("tagset", "model", "qualifying", "composite_score")
+    return c.select(F.array_join("tagset", ",").alias("tagset"), "model", "qualifying", "composite_score")
 
 
 @register("minmax_lower_better", with_views("""
@@ -218,12 +218,16 @@ select tag, model, avg_latency_ms,
        end as latency_axis
 from agg""", "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations", extra=agg_ctes()))
 def q_minmax(spark, d):
-    from pyspark.sql import Window
-    w = Window.partitionBy("tag")
     a = f2_agg(spark, d)
-    return a.select("tag", "model", "avg_latency_ms",
-                    lower_is_better("avg_latency_ms", F.min("avg_latency_ms").over(w),
-                                    F.max("avg_latency_ms").over(w)).alias("latency_axis"))
+    ends = a.groupBy("tag").agg(F.min("avg_latency_ms").alias("lo"), F.max("avg_latency_ms").alias("hi"))
+    return a.join(ends, "tag").select("tag", "model", "avg_latency_ms",
+                                      lower_is_better("avg_latency_ms", F.col("lo"), F.col("hi")).alias("latency_axis"))
+
+
+PAIRS_SQL = """
+select m1.name as model_a, m2.name as model_b
+from f2_models m1 join f2_models m2 on m2.model_key = m1.model_key + 1
+where m1.model_key % 2 = 1"""
 
 
 WILSON_SQL = """
@@ -255,30 +259,26 @@ def q_wilson(spark, d):
 @register("intervals_disjoint", with_views("""
 select a.tag, a.model as model_a, b.model as model_b,
        ({ahi} < {blo}) or ({bhi} < {alo}) as disjoint
-from agg a join agg b on a.tag = b.tag and a.model < b.model
-where a.tag = '1-URGENT'""".format(
+from pairs p join agg a on a.model = p.model_a join agg b on b.model = p.model_b and b.tag = a.tag""".format(
         alo=wilson_sql("a.n_passed", "a.n_passed_known")[0], ahi=wilson_sql("a.n_passed", "a.n_passed_known")[1],
         blo=wilson_sql("b.n_passed", "b.n_passed_known")[0], bhi=wilson_sql("b.n_passed", "b.n_passed_known")[1]),
-    "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations", extra=agg_ctes()))
+    "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations", extra=agg_ctes() | {"pairs": PAIRS_SQL}))
 def q_disjoint(spark, d):
-    a = f2_agg(spark, d, AUTH).filter(F.col("tag") == "1-URGENT")
+    """Given pairs of models, over all tags both have."""
+    a = f2_agg(spark, d, AUTH)
     lo, hi = wilson_bounds("n_passed", "n_passed_known")
     a = a.select("tag", "model", lo.alias("lo"), hi.alias("hi"))
-    x, y = a.alias("x"), a.alias("y")
-    return (x.join(y, (F.col("x.tag") == F.col("y.tag")) & (F.col("x.model") < F.col("y.model")))
-             .select(F.col("x.tag").alias("tag"), F.col("x.model").alias("model_a"),
-                     F.col("y.model").alias("model_b"),
-                     intervals_disjoint("x.lo", "x.hi", "y.lo", "y.hi").alias("disjoint")))
+    x = f2_pairs(spark, d).join(a.select("tag", F.col("model").alias("model_a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "model_a")
+    y = a.select("tag", F.col("model").alias("model_b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    return x.join(y, ["tag", "model_b"]).select("tag", "model_a", "model_b", intervals_disjoint("alo", "ahi", "blo", "bhi").alias("disjoint"))
 
 
 @register("group_by_first_key", with_views("""
-select tag, count(*) as n_models, cast(sum(n_evals) as bigint) as n_evals,
-       string_agg(model, ',' order by model) as models
-from agg group by tag""", "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations", extra=agg_ctes()))
+select a.tag, a.model, a.n_evals, a.pass_rate, t.n_models, t.tag_evals
+from agg a join (select tag, count(*) as n_models, cast(sum(n_evals) as bigint) as tag_evals from agg group by tag) t on t.tag = a.tag""",
+                                           "f2_prompt_tags", "f2_runs", "f2_models", "f2_evaluations", extra=agg_ctes()))
 def q_group_first(spark, d):
-    g = A.group_by_first_key(f2_agg(spark, d))
-    return g.select("tag", "n_models", "n_evals",
-                    F.array_join(F.transform("rows", lambda r: r["model"]), ",").alias("models"))
+    return A.group_by_first_key(f2_agg(spark, d))
 
 
 HEAT_SQL = "select tag, model, {v} as value from agg"
@@ -319,12 +319,6 @@ from cmp1"""
     return ctes
 
 
-PAIRS_SQL = """
-select m1.name as model_a, m2.name as model_b
-from f2_models m1 join f2_models m2 on m2.model_key = m1.model_key + 1
-where m1.model_key % 2 = 1"""
-
-
 def f2_pairs(spark, d):
     m = F2(spark, d).models
     a = m.filter(F.col("model_key") % 2 == 1).select(F.col("name").alias("model_a"),
