@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.jsontext import json_value, let
 from evalspark.functions.text import estimate_cost
 
 MAX_FANOUT_MODELS = 10000
@@ -49,8 +50,12 @@ def _first_line(c: Column) -> Column:
 
 
 def parse_chat_payload(payload: Column) -> Column:
-    """STRUCT<text, tokens_in, tokens_out, parse_error> from one completion body."""
-    v = F.try_parse_json(payload)
+    """STRUCT<text, tokens_in, tokens_out, parse_error> from one completion body,
+    which must be one JSON value with nothing after it."""
+    return let(json_value(payload), _chat_payload)
+
+
+def _chat_payload(v: Column) -> Column:
     choices = F.try_variant_get(v, "$.choices", "array<variant>")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     first = F.try_element_at(choices, F.lit(1))
@@ -128,10 +133,12 @@ def fanout_replay(work: DataFrame, replies: DataFrame, models: DataFrame, create
 
 def recent_runs(runs: DataFrame, models: DataFrame, prompts: DataFrame, limit: int = 20,
                 preview: int = 80) -> DataFrame:
-    """Newest runs with model and an 80-character prompt preview (top-N; the
-    sort is a per-partition top-k merged once, not a global sort)."""
-    m = models.select(F.col("name").alias("model"))
-    p = prompts.select("prompt_id", F.substring("content", 1, preview).alias("prompt_preview"))
+    """Newest runs of known models and prompts with an 80-character prompt
+    preview. The top N are taken over keys (a per-partition top-k merged once);
+    only those N rows meet the prompts' texts."""
     r = runs.select("run_id", "prompt_id", "model", "created_at", "latency_ms", "cost_usd", "error")
-    return (r.join(m, "model").join(p, "prompt_id")
-             .orderBy(F.desc("created_at"), F.asc("run_id")).limit(limit))
+    newest = [F.desc("created_at"), F.asc("run_id")]
+    top = (r.join(models.select(F.col("name").alias("model")), "model", "left_semi")
+            .join(prompts.select("prompt_id"), "prompt_id", "left_semi").orderBy(*newest).limit(limit))
+    p = prompts.select("prompt_id", F.substring("content", 1, preview).alias("prompt_preview"))
+    return top.join(p, "prompt_id").orderBy(*newest)
