@@ -52,7 +52,8 @@ _EDGE = re.compile(r"^[^\w$@!|+€£¡]+|[^\w$@]+$")
 _PLAIN = re.compile(r"(?:[^\W\d_]|['’-])*\Z")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(.)\1*", re.S)
-_APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_APART = re.compile(r"(?<!\S)\S(?: +\S){2,}(?!\S)")
+_DASHED = re.compile(r"(?:[^\W\d_][-'’]){2,}[^\W\d_]\Z")
 #: runs of equal characters beyond which a string is no word
 LONGEST = 32
 
@@ -156,7 +157,9 @@ class Restorer:
         got = self.seen.get(token)
         if got is None:
             core = _EDGE.sub("", token)
-            if _PLAIN.match(core) and not _THRICE.search(core):
+            if _DASHED.match(core):
+                got = self.decode(core)
+            elif _PLAIN.match(core) and not _THRICE.search(core):
                 got = core
             elif sum(c.isalpha() for c in core) * 3 < len(core) and not any(c in "@$!|+€" for c in core):
                 got = core  # mostly digits: a number
@@ -187,8 +190,8 @@ class Restorer:
 
 
 def terms(word: str) -> list[str]:
-    """The word, and its beginnings."""
-    return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
+    """The word, its beginnings, and the word without doubled letters (restored words may lack one)."""
+    return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n), "~" + _RUN.sub(r"\1", word)]
 
 
 def features(words: set[str], lexicon: dict[str, float], cache: dict) -> list[float]:

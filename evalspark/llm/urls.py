@@ -127,7 +127,7 @@ def judge(urls: DataFrame, labels: DataFrame, rules: DataFrame, default: str = "
     columns stay as they are, but columns named like the added ones are replaced.
     """
     tune(urls.sparkSession)
-    added = ("url_host", "url_path", "url_query", "rule", "rules", "verdict", "mined", "confidence", "tokens")
+    added = ("url_host", "url_path", "url_query", "rule", "rules", "verdict", "mined", "confidence", "tokens", "_rest", "_raw", "_best")
     d = parts(urls.drop(*added)).withColumn("tokens", tokens())
     index = mine(parts(labels.select("url", "bad")).select(tokens().alias("tokens"), "bad"), support, least, confidence)
     hosts = stated(d.select("url_host").distinct(), rules.distinct())

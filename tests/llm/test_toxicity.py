@@ -91,3 +91,11 @@ def test_held_out_accuracy_obfuscation_and_edges(spark):
     assert by[5002]["predicted"] == by[5003]["predicted"] == by[None]["predicted"] == 1
     assert T.score(d.limit(0), lab).count() == 0
     assert all(r["predicted"] == 0 for r in T.score(d.limit(20), lab.limit(0)).collect())
+
+
+def test_forms_of_a_word_meet_in_its_terms(spark):
+    r = T.Restorer(model_of(spark, ["the worthless scum and a loser walked over hills"] * 30))
+    for form in ("w0rthless", "WORTHLESS!!", "wooorthless", "worthlesss"):
+        assert "~worthles" in {t for w in r.words(form) for t in T.terms(w)}, form
+    for form in ("s-c-u-m", "s.c.u.m", "s c u m", "s   c  u m", "s_c_u_m", "$cuuum"):
+        assert "scum" in r.words("the " + form + " walked"), form
