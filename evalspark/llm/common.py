@@ -6,6 +6,7 @@ Parquet, so a lost executor never takes the only copy of anything with it.
 """
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -49,6 +50,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now: it does so once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width_for(rows: int, each: int, least: int = 1) -> int:
     """Partitions for a measured number of rows at about ``each`` rows."""
     return max(least, -(-int(rows) // int(each)))
