@@ -27,8 +27,6 @@ from evalspark.llm.tokens import PACK_END, default_tokenizer, encoder
 WINDOW = 2048
 #: rests indexed at a time
 SHARD = 1024
-#: heaviest terms of a seed that are looked up (every rest is indexed by all its terms)
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -56,8 +54,8 @@ class Index:
         self.terms = number[by_doc]
         self.at = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
 
-    def scores(self, i: int, query_terms: int = QUERY_TERMS) -> np.ndarray:
-        """Score of every rest against the heaviest terms of rest ``i``."""
+    def scores(self, i: int, query_terms: int | None = None) -> np.ndarray:
+        """Score of every rest against all terms of rest ``i`` (or only its heaviest ones)."""
         terms = self.terms[self.at[i]:self.at[i + 1]][:query_terms]
         runs = [slice(a, b) for a, b in zip(self.lo[terms].tolist(), self.hi[terms].tolist(), strict=True)]
         return np.bincount(np.concatenate([self.doc[r] for r in runs]),

@@ -116,3 +116,21 @@ def test_index_equals_brute_force_bm25():
                 tf = int((r == t).sum())
                 want[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(r) / mean))
         assert np.allclose(index.scores(i, 1000), want)
+
+
+def test_default_scores_use_every_term_of_the_seed():
+    rnd = np.random.default_rng(5)
+    rests = [rnd.zipf(1.3, rnd.integers(100, 400)).clip(0, 3000).astype(np.uint32) for _ in range(60)]
+    index = packing.Index(rests)
+    sets = [set(r.tolist()) for r in rests]
+    mean = np.mean([len(r) for r in rests])
+    for i in range(60):
+        assert len(sets[i]) > 24
+        want = np.zeros(60)
+        for t in sets[i]:
+            df = sum(t in s for s in sets)
+            idf = np.log1p((60 - df + 0.5) / (df + 0.5))
+            for j, r in enumerate(rests):
+                tf = int((r == t).sum())
+                want[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(r) / mean))
+        assert np.allclose(index.scores(i), want)
