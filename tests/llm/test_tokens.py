@@ -134,3 +134,39 @@ def test_default_scores_use_every_term_of_the_seed():
                 tf = int((r == t).sum())
                 want[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(r) / mean))
         assert np.allclose(index.scores(i), want)
+
+
+def test_related_documents_meet_across_the_input(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(4000)]
+    texts = [rnd.choices(words, k=120) for _ in range(96)]
+    copies = [[rnd.choice(words) if rnd.random() < 0.05 else w for w in t] for t in texts]
+    rows = [(i + 1000 * k, " ".join(t)) for k, part in enumerate((texts, copies)) for i, t in enumerate(part)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sequences = {}
+    for r in packing.pack(df, shard=32).collect():
+        sequences.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert len(sequences) == 192
+    met = sum(bool(sequences[i] & sequences[i + 1000]) for i in range(96))
+    assert met > 60  # consecutive shards of 32 rows hold no pair at all
+
+
+def test_statistics_cover_all_rests(spark):
+    rows, df = make(spark)
+    ids = [x[len(x) - len(x) % 2048:] for x in reference(rows, 1)]
+    ids = [x for x in ids if len(x)]
+    cut = packing.encoded(df, default_tokenizer(), 2048, 1, "doc_id", "text")
+    stats = packing.counted(cut.where("sequence_id is null"))
+    want = np.zeros(len(stats.df), np.int64)
+    for x in ids:
+        want[np.unique(x)] += 1
+    assert stats.n == len(ids) and stats.mean == np.mean([len(x) for x in ids])
+    assert np.array_equal(stats.df, want)
+    part = packing.Index(ids[:20], stats)
+    norm = 1.2 * (0.25 + 0.75 * np.array([len(x) for x in ids[:20]]) / stats.mean)
+    for i in range(20):
+        s = np.zeros(20)
+        for t in set(ids[i].tolist()):
+            tf = np.array([(x == t).sum() for x in ids[:20]])
+            s += np.log1p((stats.n - want[t] + 0.5) / (want[t] + 0.5)) * tf * 2.2 / (tf + norm)
+        assert np.allclose(part.scores(i), s)
