@@ -29,9 +29,14 @@ from evalspark.llm.common import table, tune
 # Elements by their role in the cut (fixed values)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
              "strike strong sub sup time tt u var wbr".split())
+#: elements of formulas and drawings: inline, but blocks that hold their text have the root's mark
+FOREIGN = set("math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded "
+              "mphantom menclose mmultiscripts mprescripts merror maction semantics annotation annotation-xml "
+              "svg g path circle ellipse rect line polyline polygon text tspan textpath defs symbol use marker pattern mask clippath "
+              "lineargradient radialgradient stop filter foreignobject desc metadata view switch animate set".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: their content is no text of the page
-RAW = set("script style noscript template title textarea iframe svg math object canvas audio video xmp noembed noframes".split())
+#: their content is no text of the page: raw text, and templates, which are not shown
+RAW = set("script style template title textarea iframe xmp noembed noframes".split())
 #: elements whose start ends an open one of the same kind, up to the container
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",),
                 "td": ("td", "th"), "th": ("td", "th")}
@@ -73,6 +78,7 @@ def blocks(page: str | None) -> list[Block]:
     opened: Counter = Counter()
     now: Block | None = None
     in_link = 0
+    roots: set[str] = set()  # open roots of formulas and drawings
     at, n = 0, len(page)
 
     def say(text: str) -> None:
@@ -81,6 +87,8 @@ def blocks(page: str | None) -> list[Block]:
             now = Block(*(stack[-1][1:] if stack else ((), ())), stack[-1][0] if stack else "")
             out.append(now)
         now.parts.append(text)
+        if roots and not text.isspace():
+            now.marks += tuple(m for r in sorted(roots) if (m := "t:" + r) not in now.marks)
         if in_link and not text.isspace():
             now.links += len(text)
 
@@ -116,7 +124,9 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            if tag in INLINE or tag in VOID:
+            if tag in INLINE or tag in VOID or tag in FOREIGN:
+                if tag in roots:
+                    roots.remove(tag)
                 if tag == "br":
                     say(" ")
                 continue
@@ -137,7 +147,11 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in VOID:
             if tag == "hr":
                 now = None
+        elif tag in FOREIGN:
+            if tag in ("math", "svg") and not m[3].endswith("/"):
+                roots.add(tag)
         elif tag not in INLINE:
+            roots.clear()  # a block element ends them, as in browsers
             ends = SELF_CLOSING.get(tag, ())
             if tag in ENDS_P:
                 ends = (*ends, "p")

@@ -79,3 +79,25 @@ def test_the_given_pages(spark):
         a = re.sub(r"</?(?:h1|p)[^>]*>", "\n", re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
         a = re.sub("<[^>]*>", "", a.replace("<br>", " "))
         assert got[r["page_id"]] == "\n".join(x for x in (" ".join(html.unescape(y).split()) for y in a.split("\n")) if x)
+
+
+def test_formulas_and_fallback_text_are_text_of_the_page():
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p>") == ["Let x=1 be so."]
+    assert texts('<p>A <svg><path d="M0"/><title>no</title><text>label</text></svg> b</p><p>c</p>') == ["A label b", "c"]
+    assert [("t:math" in b.marks, b.text) for b in X.blocks("<p>a <math><mi>x</mi></math></p><p>b</p>")] == [(True, "a x"), (False, "b")]
+    for tag in ("object", "canvas", "audio", "video", "noscript"):
+        assert texts(f"<p>a</p><{tag}><p>b</p>c</{tag}><p>d</p>") == ["a", "b", "c", "d"]
+        assert "t:" + tag in X.blocks(f"<{tag}>x</{tag}>")[0].marks
+    for tag in ("object", "canvas", "audio", "video", "noscript", "svg", "math"):
+        assert texts(f"<article><p>a</p><{tag}><p>b</p><p>c</p></article><p>d</p>") == ["a", "b", "c", "d"]  # never closed
+    for tag in ("script", "style", "textarea", "iframe", "template"):
+        assert texts(f"<p>a</p><{tag}><p>b</p></{tag}><p>d</p>") == ["a", "d"]
+
+
+def test_the_field_decides_on_fallback_text():
+    field = X.default_field()
+    for tag in ("object", "canvas", "audio", "video", "noscript", "svg", "math"):
+        page = (f"<body><nav><ul><li><a href=/a>Home</a></li></ul><{tag}>Menu</{tag}></nav><article><h1>Head line</h1><p>First part of it, as told.</p>"
+                f"<{tag}>Second part, as the fallback tells it.</{tag}><p>Third part of it, as told.</p></article><footer>&copy; host</footer></body>")
+        assert X.main_text(page, field).split("\n") == [
+            "Head line", "First part of it, as told.", "Second part, as the fallback tells it.", "Third part of it, as told."], tag
