@@ -16,9 +16,13 @@ def test_heatmap_and_fill(spark):
 
 
 def test_group_by_first_key(spark):
-    g = {r.tag: r for r in A.group_by_first_key(_agg(spark)).collect()}
-    assert g["coding"].n_models == 2 and g["coding"].n_evals == 5
-    assert [x.model for x in g["coding"].rows] == ["a", "b"]
+    g = {(r.tag, r.model): r for r in A.group_by_first_key(_agg(spark)).collect()}
+    assert set(g) == {("coding", "a"), ("coding", "b"), ("math", "a")}
+    for model, n, rate in (("a", 3, 0.5), ("b", 2, 1.0)):
+        r = g["coding", model]
+        assert (r.n_models, r.tag_evals, r.n_evals, r.pass_rate) == (2, 5, n, rate)
+    assert (g["math", "a"].n_models, g["math", "a"].tag_evals) == (1, 1)
+    assert A.group_by_first_key(_agg(spark).limit(0)).count() == 0
 
 
 def test_top_predictions_all_and_n(spark):
