@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import chat, decontam, extract, packing, quality, simhash, suffixes, tokenfile, toxicity, urls
+from evalspark.llm import chat, decontam, divergence, extract, packing, quality, simhash, suffixes, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -14,10 +14,12 @@ QUERIES = {
     "op8_suffix": suffixes.op8_suffix,
     "op9_extract": extract.op9_extract,
     "op10_decontam": decontam.op10_decontam,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat": chat.ORACLE,
     "op9_extract": extract.ORACLE,
     "op10_decontam": decontam.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }

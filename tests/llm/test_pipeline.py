@@ -13,7 +13,7 @@ from tests.llm.test_suffixes import brute
 def test_entry_registers_everything():
     import __spark_entry__ as E
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14))
     assert "pipeline" in E.queries() and "pipeline" not in E.oracle_sql()
     assert [n for n, _ in P.STAGES] == ["toxicity", "simhash", "suffixes", "decontamination", "packing"]
 
