@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, and SQL where SQL can say it."""
 from __future__ import annotations
 
-from evalspark.llm import chat, decontam, divergence, extract, packing, quality, simhash, suffixes, tokenfile, toxicity, urls
+from evalspark.llm import chat, classifier, decontam, divergence, extract, packing, quality, simhash, spelling, suffixes, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -15,6 +15,8 @@ QUERIES = {
     "op9_extract": extract.op9_extract,
     "op10_decontam": decontam.op10_decontam,
     "op11_divergence": divergence.op11_divergence,
+    "op12_quality": classifier.op12_quality,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
