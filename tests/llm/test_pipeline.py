@@ -22,7 +22,7 @@ def make(rnd):
     vocab = [f"{a}{b}" for a in ("ra", "to", "li", "mun", "ke", "so") for b in ("", "ta", "ro", "min", "de", "la", "go", "va")]
     text = lambda n: " ".join(rnd.choices(vocab, k=n))
     items = [(i, text(30)) for i in range(5)]
-    passage = text(110)
+    passage, short = text(110), text(52)
     docs, labels, kinds = [], [], {}
     for i in range(260):
         t, kind = text(rnd.randint(60, 400)), "clean"
@@ -31,7 +31,7 @@ def make(rnd):
         elif i % 11 == 0:
             t, kind = t + " " + rnd.choice(items)[1] + " " + text(20), "leak"
         elif i % 13 == 0:
-            t, kind = text(30) + " " + passage + " " + text(30), "passage"
+            t, kind = text(30) + " " + (passage if i % 2 else short) + " " + text(30), "passage"
         docs.append((i, t, "en", "s", len(t)))
         labels.append((i, 1, int(kind == "toxic")))
         kinds[i] = kind
@@ -65,8 +65,10 @@ def test_stages_against_brute_force(spark, monkeypatch):
     assert ids("simhash") == {i for i in fps if groups[i] == i}
     assert not {300, 301, 302} & ids("simhash")
     before = {r["doc_id"]: r["text"] for r in kept["simhash"]}
-    want = dict(zip(before, brute(list(before.values()), 400), strict=True))
-    assert any(w[1] for w in want.values())
+    want = dict(zip(before, brute(list(before.values()), suffixes.PASSAGE), strict=True))
+    # every passage of over 50 words that several documents share goes, also one under 400 bytes; clean texts stay
+    assert {i for i, w in want.items() if w[1]} == {i for i in before if kinds.get(i) == "passage"}
+    assert any(w[1] < 400 for w in want.values() if w[1])
     for r in kept["suffixes"]:
         assert len((r["text"] or "").encode()) == want[r["doc_id"]][0] - want[r["doc_id"]][1]
         assert suffixes.digest((r["text"] or "").encode()) == want[r["doc_id"]][3]
