@@ -3,11 +3,12 @@
 Every document is measured in one scan; a few plain rules reject the hopeless.
 For the others four statistics are transformed (mean word length, share of
 symbols, repeated lines, share of repeated words), and for each language and
-source a minimum-covariance-determinant estimate is found: from a robust and a
-plain start, concentration steps keep the three quarters of the rows nearest to
-the present mean and covariance and estimate anew, until nothing changes; the
-smaller determinant wins. Its reweighted estimate gives the Mahalanobis
-distances by which documents are rejected.
+source a minimum-covariance-determinant estimate is found: from four deterministic
+starts (medians and absolute deviations, plain moments, hyperbolic tangents and
+spatial signs of the standardised rows), concentration steps keep the three quarters
+of the rows nearest to the present mean and covariance and estimate anew; after two
+steps the start of the least determinant goes on until nothing changes. Its reweighted
+estimate gives the Mahalanobis distances by which documents are rejected.
 
 Steps are partial aggregates over a narrow table, joined with one row per group.
 The quantile of a step comes from a histogram of the distances' logarithms, so a
@@ -29,19 +30,23 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 GROUP = 50
 #: share of the rows that a concentration step keeps
 KEPT = 0.75
-#: concentration steps, at most
-STEPS = 8
+#: concentration steps of all starts; further steps of the best one, at most (then ``settled`` is false)
+FIRST, STEPS = 2, 30
 #: consistency factor of the covariance of the nearest three quarters, four normal statistics
 CONSISTENT = 1.485
-#: squared distances: of rows that count for the reweighted estimate (0.975 of chi-squared, 4), and of kept rows
-WEIGHTED, CUTOFF = 11.14, 30.0
-#: statistics: expression and least standard deviation (differences that no one would reject for)
+#: squared distances, quantiles of chi-squared with four degrees: 0.975 counts for the reweighted
+#: estimate, beyond 0.999 a document is rejected
+WEIGHTED, CUTOFF = 11.143, 18.467
+#: statistics: expression, and a harmless difference from the group's centre. A standard deviation is at least
+#: so large that the statistic alone rejects only beyond it: a quarter of the mean word length, 1.5 symbols in
+#: a hundred characters, 6 repeated lines, a quarter of the words repeated.
 STATS = {
-    "x0": ("ln(word_chars / n_words)", 0.07),
-    "x1": ("ln(1 + 100 * n_symbols / word_chars)", 0.25),
-    "x2": ("ln(1 + n_dup_lines)", 0.5),
-    "x3": ("ln(1 + 100 * n_repeat_words / n_words)", 1.2),
+    "x0": ("ln(word_chars / n_words)", math.log(1.25)),
+    "x1": ("ln(1 + 100 * n_symbols / word_chars)", math.log(1 + 1.5)),
+    "x2": ("ln(1 + n_dup_lines)", math.log(1 + 6)),
+    "x3": ("ln(1 + 100 * n_repeat_words / n_words)", math.log(1 + 25)),
 }
+LEAST = [harmless / math.sqrt(CUTOFF) for _, harmless in STATS.values()]
 X = list(STATS)
 PAIRS = list(combinations_with_replacement(range(len(X)), 2))
 #: bits of a packed window hash that hold its position
@@ -116,16 +121,18 @@ def _estimate(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
 
 
 def _cholesky(moments: DataFrame, by: list[str]) -> DataFrame:
-    """m0.., l00.. (lower triangle) and the log-determinant; variances get the floors."""
+    """m0.., l00.. (lower triangle) and the log-determinant.
+
+    No variance is less than its least, given the statistics before it: rows on a line,
+    such as clean ones and one kind of junk, are no small determinant.
+    """
     d = moments
-    for i, (_, floor) in enumerate(STATS.values()):
-        d = d.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + floor * floor)
     for j in range(len(X)):
         for i in range(j, len(X)):
             v = F.col(f"c{j}{i}")
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
+            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(LEAST[i] ** 2))) if i == j else v / F.col(f"l{j}{j}"))
     det = sum((F.log(f"l{i}{i}") for i in range(1, len(X))), F.log("l00"))
     names = [f"m{i}" for i in range(len(X))] + [f"l{i}{j}" for j, i in PAIRS]
     return d.select(*by, "n", *names, (2 * det).alias("det"))
@@ -149,45 +156,71 @@ def _near(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     bins = far.groupBy("key", "start", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("key", "start")  # at most some thousand bins, however many rows
     bins = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    last = bins.where(F.col("upto") >= F.col("all") * KEPT).groupBy("key", "start").agg(F.min("bin").alias("last"))
+    # stored: one row a group and start, so that the rows need no shuffle to meet it
+    last = stored(bins.where(F.col("upto") >= F.col("all") * KEPT).groupBy("key", "start").agg(F.min("bin").alias("last")), "mcd-last")
     return far.join(last, ["key", "start"]).where("bin <= last")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Reweighted minimum-covariance-determinant estimate of each ``key`` of rows (key, x0..)."""
-    by = ["key", "start"]
+def _starts(rows: DataFrame) -> DataFrame:
+    """The four first estimates of each group."""
+    by, n = ["key", "start"], len(X)
     median = rows.groupBy("key").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)))
-    spread = rows.join(median, "key").groupBy("key").agg(F.count("*").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(len(X))), *(
+    median = stored(median, "mcd-medians")
+    spread = rows.join(median, "key").groupBy("key").agg(F.count("*").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(n)), *(
         F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(X)))
-    robust = _cholesky(spread.select("key", F.lit(0).alias("start"), "n", *(f"m{i}" for i in range(len(X))), *(
-        (F.pow(F.col(f"a{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS)), by)
-    now = stored(robust.unionByName(_estimate(rows.withColumn("start", F.lit(1)), by, 1.0)), "mcd")
-    twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    mark = None
-    for _ in range(STEPS):
-        now = stored(_estimate(_near(twice, now), by, 1.0), "mcd")
-        seen = now.agg(F.sum(F.round("det", 6)).alias("det"), F.sum("n").alias("n")).first()
-        if tuple(seen) == mark:
+    spread = stored(spread.select("key", "n", *(f"m{i}" for i in range(n)), *(
+        F.greatest(F.col(f"a{i}") * 1.4826, F.lit(LEAST[i])).alias(f"a{i}") for i in range(n))), "mcd-spread")
+    centre = ["key", *(f"m{i}" for i in range(n))]
+    robust = spread.select(*centre, F.lit(0).alias("start"), "n", *(
+        (F.pow(f"a{i}", F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
+    z = rows.join(spread, "key").select(*centre, "n", *(f"a{i}" for i in range(n)), *(
+        ((F.col(x) - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i, x in enumerate(X)))
+    z = z.withColumn("norm", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, n)), F.col("z0") * F.col("z0")))
+    shaped = z.groupBy(*centre, "n", *(f"a{i}" for i in range(n))).agg(
+        *(F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}{j}") for i, j in PAIRS),
+        *(F.avg(F.when(F.col("norm") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).otherwise(0.0) * n).alias(f"g{i}{j}") for i, j in PAIRS))
+    others = [shaped.select(*centre, F.lit(k).alias("start"), "n", *(
+        (F.col(f"{c}{i}{j}") * F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i, j in PAIRS)) for k, c in ((2, "t"), (3, "g"))]
+    shapes = _cholesky(robust.unionByName(others[0]).unionByName(others[1]), by)
+    return shapes.unionByName(_estimate(rows.withColumn("start", F.lit(1)), by, 1.0))
+
+
+def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Reweighted minimum-covariance-determinant estimate of each ``key`` of rows (key, x0..).
+
+    ``settled`` is false where the determinant still changed in the last step.
+    """
+    by = ["key", "start"]
+    now = stored(_starts(rows), "mcd")
+    every = rows.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(4)))))
+    for _ in range(FIRST):
+        now = stored(_estimate(_near(every, now), by, 1.0), "mcd")
+    best = now.groupBy("key").agg(F.min_by(F.struct(*(c for c in now.columns if c not in by)), F.struct("det", "start")).alias("b"))
+    now = stored(best.select("key", F.lit(0).alias("start"), "b.*"), "mcd")
+    one = rows.withColumn("start", F.lit(0))
+    for _ in range(max(steps, 1)):
+        before = now.select("key", F.col("det").alias("was"))
+        now = _estimate(_near(one, now.drop("settled")), by, 1.0).join(before, "key")
+        now = stored(now.withColumn("settled", F.abs(F.col("det") - F.col("was")) < 1e-6).drop("was"), "mcd")
+        if now.where("not settled").isEmpty():
             break
-        mark = tuple(seen)
-    best = now.groupBy("key").agg(F.min_by(F.struct(*(c for c in now.columns if c != "key")), F.struct("det", "start")).alias("b"))
-    best = best.select("key", "b.*")
-    raw = best.select("key", "n", *(c for c in best.columns if c[0] == "m"), *(
-        (F.col(c) * math.sqrt(CONSISTENT)).alias(c) for c in best.columns if c[0] == "l"))
-    weighted = rows.join(raw.drop("n"), "key").where(distance() <= WEIGHTED).select("key", *X)
-    return stored(_estimate(weighted, ["key"], 1.0), "mcd")
+    raw = now.select("key", "n", "settled", *(c for c in now.columns if c[0] == "m"), *(
+        (F.col(c) * math.sqrt(CONSISTENT)).alias(c) for c in now.columns if c[0] == "l"))
+    weighted = rows.join(raw.drop("n", "settled"), "key").where(distance() <= WEIGHTED).select("key", *X)
+    return stored(_estimate(weighted, ["key"], 1.0).join(raw.select("key", "settled"), "key"), "mcd")
 
 
 def judge(docs: DataFrame, least: int = GROUP, cutoff: float = CUTOFF) -> DataFrame:
     """Statistics, base_failed, distance and kept of every row of ``docs``.
 
     Columns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
-    (long), base_failed, distance (squared; null where the rules failed), kept.
+    (long), base_failed, distance (squared; null where the rules failed), kept, and
+    settled (whether the estimate of the document's group no longer changed).
     Null texts have no words and fail. Null languages and sources are groups like
     any other; a null doc_id is kept as null; repeated rows give repeated rows.
     Groups under ``least`` rows are pooled, see :func:`grouped`; a pool that is
-    small itself is judged by its own rows, under the floors of STATS, which also
-    serve constant statistics. Extra columns are ignored; an empty table gives an
+    small itself is judged by its own rows, under the least deviations of STATS, which
+    also serve constant statistics. Extra columns are ignored; an empty table gives an
     empty one.
     """
     tune(docs.sparkSession)
@@ -197,7 +230,7 @@ def judge(docs: DataFrame, least: int = GROUP, cutoff: float = CUTOFF) -> DataFr
     found = estimates(good.join(key, "own").select("key", *X))
     judged = key.join(found.drop("n", "det"), "key").drop("key")
     out = rows.join(judged, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "settled",
                       (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
 
 

@@ -69,19 +69,28 @@ def test_estimate_equals_numpy(spark):
     x[:90] += 30
     df = spark.createDataFrame([("g", *map(float, r)) for r in x], "key string, x0 double, x1 double, x2 double, x3 double")
     est = Q.estimates(df).first()
-    floors = np.diag([f * f for _, f in Q.STATS.values()])
+    least = np.square(Q.LEAST)
+    assert est["settled"]
+
+    def raised(cov):
+        low = np.zeros((4, 4))
+        for j in range(4):
+            for i in range(j, 4):
+                v = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(v, least[i])) if i == j else v / low[j, j]
+        return low @ low.T
 
     def far(mean, cov):
         d = x - mean
         return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
 
     med = np.median(x, axis=0)
-    mean, cov = med, np.diag((1.4826 * np.median(abs(x - med), axis=0)) ** 2) + floors
+    mean, cov = med, np.diag((1.4826 * np.median(abs(x - med), axis=0)) ** 2)
     for _ in range(20):
         near = x[np.argsort(far(mean, cov))[:450]]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) + floors
+        mean, cov = near.mean(0), raised(np.cov(near.T, bias=True))
     near = x[far(mean, cov * Q.CONSISTENT) <= Q.WEIGHTED]
-    mean, cov = near.mean(0), np.cov(near.T, bias=True) + floors
+    mean, cov = near.mean(0), raised(np.cov(near.T, bias=True))
     assert [est[f"m{i}"] for i in range(4)] == pytest.approx(mean.tolist(), abs=0.05)
     low = np.array([[est[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
     assert np.allclose(low @ low.T, cov, rtol=0.1, atol=0.1)
@@ -90,6 +99,23 @@ def test_estimate_equals_numpy(spark):
     assert (got > Q.CUTOFF).sum() >= 90
 
 
+def test_one_bad_statistic_rejects(spark):
+    """84 of 184 words repeated: the base rules let it pass, its distance from 200 clean documents does not."""
+    rnd = random.Random(2)
+    data = [(i, prose(rnd, 184), "en", "s") for i in range(200)]
+    data.append((900, prose(rnd, 100) + " ".join(["one two three four five six seven"] * 12), "en", "s"))
+    rows = {r["doc_id"]: r for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert (rows[900]["n_words"], rows[900]["n_repeat_words"], rows[900]["base_failed"], rows[900]["kept"]) == (184, 84, False, False)
+    assert all(r["kept"] and r["settled"] for i, r in rows.items() if i < 200)
+
+
+def test_an_unsettled_estimate_says_so(spark):
+    rnd = np.random.default_rng(8)
+    x = np.r_[rnd.normal(size=(300, 4)), rnd.normal(size=(280, 4)) * 3 + 4]
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "key string, x0 double, x1 double, x2 double, x3 double")
+    assert not Q.estimates(df, steps=1).first()["settled"] and Q.estimates(df).first()["settled"]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, prose(random.Random(1), 80), "en", "a")], "doc_id long, text string, lang string, source string")
     plan = Q.judge(df)._jdf.queryExecution().executedPlan().toString()
