@@ -4,9 +4,11 @@
    from partial counts of every task; its table is bounded by the alphabet.
 2. Words with leetspeak, repeated letters or spaced-out letters become lattices:
    each sign offers the letters it may stand for, a run of letters one or two of
-   them, a gap between single letters a join. Viterbi decoding under the language
-   model and the channel's costs picks the restored word. Plain words are lattices
-   of one path and stay as they are.
+   them, a gap between single letters a join, punctuation inside a token a break
+   between words. Viterbi decoding under the language model and the channel's costs
+   picks the restored words; a long token is decoded in overlapping parts. Plain
+   words are lattices of one path and stay as they are; numbers without a letter
+   are no words. A hyphenated word counts whole and by its parts.
 3. Restored words and their beginnings are scored by their log-odds in labelled
    documents; a logistic regression over a document's strongest words gives the
    score.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +52,15 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "ß": "b", "µ": "u",
 }
 _EDGE = re.compile(r"^[^\w$@!|+€£¡]+|[^\w$@]+$")
+#: signs at a token's end that may stand for a letter or end a sentence; both readings count
+_TAIL = re.compile(r"[^\W\d_].*[|+]$|[^\W\d_].*[\d@$!|+€£¡].*!$", re.S)
+_PARTS = re.compile(r"[-'’]+")
 _PLAIN = re.compile(r"(?:[^\W\d_]|['’-])*\Z")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(.)\1*", re.S)
 _APART = re.compile(r"(?<!\S)\S(?: +\S){2,}(?!\S)")
 _DASHED = re.compile(r"(?:[^\W\d_][-'’]){2,}[^\W\d_]\Z")
-#: runs of equal characters beyond which a string is no word
+#: runs of equal characters of the longest word; longer tokens are decoded in overlapping parts
 LONGEST = 32
 
 
@@ -110,7 +116,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, tuple[str, ...]] = {}
 
     def lattice(self, text: str) -> list[list[tuple[str, float]]]:
         """Alternatives (letters, cost) of each run of equal characters."""
@@ -125,7 +131,7 @@ class Restorer:
                     every += [(x + x, -SIGN - REPEAT) for x in SIGNS[c]]
                 out.append([*every, ("", -DROP)])
             elif not c.isalpha():
-                out.append([("", -REPEAT)])
+                out.append([("", -REPEAT), (" ", 0.0)])
             elif n == 1:
                 out.append([(c, 0.0)] + [(x, -DROP) for x in SIGNS.get(c, "")])
             else:
@@ -152,21 +158,38 @@ class Restorer:
         ends = [(s + (model[((a * LETTERS + b) * LETTERS + c) * LETTERS] if c else 0.0), t) for (a, b, c), (s, t) in states.items()]
         return max(ends, key=lambda x: (x[0], x[1]))[1]
 
-    def word(self, token: str) -> str:
-        """A lower-cased token restored; '' if nothing of it is a word."""
+    def whole(self, core: str) -> list[str]:
+        """Words of a token that is no plain word: decoded, in overlapping parts if it is long."""
+        runs = [m[0] for m in _RUN.finditer(core)]
+        if len(runs) <= LONGEST:
+            return self.decode(core).split()
+        out = []
+        for i in range(0, len(runs), LONGEST):
+            out += self.decode("".join(runs[i:i + 2 * LONGEST])).split()
+        return out
+
+    def readings(self, core: str, token: str) -> list[str]:
+        """Words of a token and its core without punctuation, of every reading that it has."""
+        if _DASHED.match(core):
+            found = [self.decode(core)]
+        elif _PLAIN.match(core) and not _THRICE.search(core):
+            parts = _PARTS.split(core)
+            found = [core, *(x for x in parts if len(x) > 1)] if len(parts) > 1 else parts
+        elif not any(c.isalpha() for c in core):
+            found = [core]
+        else:
+            found = self.whole(core)
+        return found + self.whole(token) if token[-1:] in "!|+" and _TAIL.search(token) else found
+
+    def word(self, token: str) -> tuple[str, ...]:
+        """The words that a lower-cased token restores to; none if nothing of it is a word."""
         got = self.seen.get(token)
         if got is None:
             core = _EDGE.sub("", token)
-            if _DASHED.match(core):
-                got = self.decode(core)
-            elif _PLAIN.match(core) and not _THRICE.search(core):
-                got = core
-            elif sum(c.isalpha() for c in core) * 3 < len(core) and not any(c in "@$!|+€" for c in core):
-                got = core  # mostly digits: a number
-            elif sum(1 for _ in _RUN.finditer(core)) > LONGEST or not any(c.isalpha() for c in core):
-                got = core
+            if core.isalpha() and token[-1] not in "!|+" and not _THRICE.search(core):
+                got = (core,)
             else:
-                got = self.decode(core)
+                got = tuple(x for x in self.readings(core, token) if x)
             if len(self.seen) >= CACHE:
                 self.seen.clear()
             self.seen[token] = got
@@ -183,10 +206,7 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
         low = text.lower()
-        found = set(map(self.word, set(low.split())))
-        found.update(self.apart(low))
-        found.discard("")
-        return found
+        return set(chain(self.apart(low), chain.from_iterable(map(self.word, set(low.split())))))
 
 
 def terms(word: str) -> list[str]:

@@ -66,12 +66,25 @@ def test_viterbi_is_the_best_path_of_the_lattice(spark):
         have = max(sum(c for _, c in p) + cost("".join(x for x, _ in p)) for p in itertools.product(*r.lattice(text))
                    if "".join(x for x, _ in p) == got)
         assert abs(best - have) < 1e-6
-    assert r.word("1d10t") == "idiot" and r.word("sc|_|m") != "" and r.word("scuuuuum!!") == "scum"
-    assert r.word("l0s3r") == "loser" and r.word("st00pid") != "" and r.word("p@thetic") == "pathetic"
-    assert r.word("plain,") == "plain" and r.word("2024") == "2024" and r.word("!!") == ""
+    assert "idiot" in r.word("1d10t") and r.word("sc|_|m") and "scum" in r.word("scuuuuum!!")
+    assert "loser" in r.word("l0s3r") and r.word("st00pid") and "pathetic" in r.word("p@thetic")
+    assert r.word("plain,") == ("plain",) and r.word("2024") == ("2024",) and r.word("!!") == ()
     assert "idiot" in r.words("what an I D I O T he is")
 
 
+def test_nothing_hides_behind_length_digits_or_punctuation(spark):
+    said = "the idiot and the scum of a moron met a loser so stupid and pathetic and worthless you are a worthless loser you idiot"
+    r = T.Restorer(model_of(spark, [said] * 20))
+    assert {"worthless", "pathetic", "loser"} <= set(r.word("y0u_4re_4_w0rthl3ss_p4th3tic_l0s3r"))
+    assert "idiot" in r.word("1d107") and "idiot" in r.word("id!o+") and "idiot" in r.word("1d1o+!")
+    for token in ("you,idiot", "you/idiot", "you-idiot", "you.idiot,loser", "(you_idiot)"):
+        assert "idiot" in r.word(token), token
+    assert "idiot" in r.word("i.d.i.o.t") and "scum" in r.word("s_c_u_m")
+    long = "4nd_" * 3000 + "m0r0n" + "_4nd" * 3000
+    assert "moron" in r.word(long)
+    assert r.word("1,234.5") == ("1,234.5",) and r.word("well-known") == ("well-known", "well", "known")
+
+
 def test_held_out_accuracy_obfuscation_and_edges(spark):
     rnd = random.Random(6)
     docs, labels = corpus(rnd, 900)
