@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.jsontext import json_value
 from evalspark.functions.judges import is_blank, strip_ws
 from evalspark.functions.rows import one_row
 from evalspark.functions.text import content_hash, normalize_prompt, parse_timestamp, provider_family
 
 SOURCE_NAME = "ai_harness"
-# Judge model credited for the imported scores, and the score columns.
+# Judge model credited for the imported scores, the score columns, and the
+# notes stored with imported evaluations.
 SCORER_MODEL = "google/gemini-2.0-flash-001"
 AUTO_RUBRICS = ("complexity", "usefulness", "data_value", "scalability")
+HUMAN_NOTE = "Imported from AI Harness `success` column."
+AUTO_NOTE = "Imported from AI Harness Gemini-Flash scorer."
 ARR = "array<variant>"
 
 
@@ -36,13 +40,19 @@ def _final_response(conv_json) -> F.Column:
     return strip_ws(F.try_variant_get(F.try_variant_get(pick, "$.content", "variant"), "$", "string"))
 
 
+def _json_or_text(name: str) -> F.Column:
+    """A column's JSON value; a text that is no JSON stays a string."""
+    return F.coalesce(json_value(F.col(name)), F.col(name).cast("variant")).alias(name)
+
+
 def import_harness_log(log: DataFrame, stored_prompts: DataFrame | None, stored_models: DataFrame | None,
                        known_ids: DataFrame | None, order: str = "id") -> dict[str, DataFrame]:
     """Returns new prompts, models, runs, evaluations and one counters row.
 
-    Order quirk kept: a row with a task but no model still creates its prompt.
+    Order quirk kept: a row with a task but no model still creates its prompt. Tasks
+    are stripped before they are hashed and counted.
     """
-    rows = log
+    rows = log.withColumn("task", strip_ws(F.col("task")))
     if known_ids is not None:
         rows = rows.join(known_ids.select(F.col("ai_harness_id").alias("id")), "id", "left_anti")
     task_ok = ~is_blank(F.col("task"))
@@ -72,9 +82,9 @@ def import_harness_log(log: DataFrame, stored_prompts: DataFrame | None, stored_
     new_models = names.select("name", prov.alias("provider"), fam.alias("family"), F.lit(False).alias("local"))
     meta = F.to_json(F.struct(
         F.col("id").cast("string").alias("ai_harness_id"), F.col("supervisor_model"),
-        F.try_parse_json(F.col("worker_sequence")).alias("worker_sequence"), F.col("num_loops"),
-        F.col("total_tokens"), F.try_parse_json(F.col("tools_used")).alias("tools_used"),
-        F.try_parse_json(F.col("tool_results")).alias("tool_results"),
+        _json_or_text("worker_sequence"), F.col("num_loops"),
+        F.col("total_tokens"), _json_or_text("tools_used"),
+        _json_or_text("tool_results"),
         F.coalesce(F.col("coder_flagged_complete").cast("boolean"), F.lit(False)).alias("coder_flagged_complete")))
     run_id = F.concat(F.lit("ai_harness:"), F.col("id").cast("string"))
     runs = runnable.select(run_id.alias("run_id"), F.col("_hash").alias("prompt_id"), F.col("_model").alias("model"),
@@ -88,7 +98,7 @@ def import_harness_log(log: DataFrame, stored_prompts: DataFrame | None, stored_
              .select(run_id.alias("run_id"), F.lit("human_pass").alias("rubric"),
                      F.col("success").cast("double").alias("score"), F.col("success").cast("boolean").alias("passed"),
                      F.lit("human").alias("scored_by"), F.lit(None).cast("string").alias("judge_model"),
-                     F.lit("Imported from AI Harness `success` column.").alias("notes")))
+                     F.lit(HUMAN_NOTE).alias("notes")))
     score_cols = [f"{r}_score" for r in AUTO_RUBRICS]
     auto = (runnable.select(run_id.alias("run_id"), *[F.col(c).cast("double") for c in score_cols])
             .unpivot("run_id", score_cols, "rubric", "score")
@@ -96,7 +106,7 @@ def import_harness_log(log: DataFrame, stored_prompts: DataFrame | None, stored_
             .select("run_id", F.regexp_replace("rubric", "_score$", "").alias("rubric"), "score",
                     F.lit(None).cast("boolean").alias("passed"), F.lit("llm").alias("scored_by"),
                     F.lit(SCORER_MODEL).alias("judge_model"),
-                    F.lit("Imported from AI Harness Gemini-Flash scorer.").alias("notes")))
+                    F.lit(AUTO_NOTE).alias("notes")))
     evals = human.unionByName(auto)
     counters = (one_row(log.agg(F.count(F.lit(1)).alias("runs_seen")),
                         rows.agg(F.count(F.lit(1)).alias("_left"),

@@ -21,6 +21,15 @@ def _row(i, task, worker="openai/gpt-4o-mini", sup="anthropic/claude-x", success
                 {"role": "tool", "content": "later"}]), None, None)
 
 
+def test_harness_plain_text_fields_and_padded_tasks(spark):
+    row = list(_row("p", "  hi \n"))
+    row[4], row[-2], row[-1] = "coder then tester", "not json", '["x"] and more'
+    out = HA.import_harness_log(spark.createDataFrame([tuple(row)], COLS), None, None, None)
+    prompt, run = out["prompts"].first(), json.loads(out["runs"].first().run_metadata)
+    assert prompt.char_count == 2 and prompt.content == "hi"
+    assert (run["worker_sequence"], run["tools_used"], run["tool_results"]) == ("coder then tester", "not json", '["x"] and more')
+
+
 def test_harness_import(spark):
     rows = [_row("a", "Do X"), _row("b", "  "), _row("c", "Do Y", worker=None, sup=None),
             _row("d", "Do  X", success=None, dur=0.0019,
