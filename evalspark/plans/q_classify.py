@@ -209,13 +209,50 @@ def _train(spark, d):
     return _MODELS[key]
 
 
-@register("classify_ml_train")
+@register("classify_ml_train", with_views("""
+select tag, cast(n as bigint) as n_examples, true as converged from balance where n >= 3""", *F4V, extra=LADDER_CTES))
 def q_ml_train(spark, d):
-    m = _train(spark, d)
-    rows = [(t, float(mm.summary.accuracy) if mm.hasSummary else None) for t, mm in m.per_tag.items()]
-    return spark.createDataFrame(rows, "tag string, train_accuracy double")
+    """Examples of each trained tag, and that its regression reached the tolerance."""
+    return _train(spark, d).tags.select("tag", "n_examples", "converged")
 
 
 @register("classify_ml_predict")
 def q_ml_predict(spark, d):
     return ML.predict(f4_prompts(spark, d), _train(spark, d))
+
+
+#: terms as the tagger reads them; f4 prompts have no accents
+TERM_CTES = {
+    "words": "select prompt_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}') as w from f4_prompts",
+    "each": """select prompt_id, unnest(w) as term from words
+               union all select prompt_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words""",
+    "tfs": "select prompt_id, term, count(*) as tf from each group by all",
+    "size": "select count(*) as n from f4_prompts",
+    "voc": """select term, count(*) as df, ln((1e0 + any_value(n)) / (1e0 + count(*))) + 1e0 as idf from tfs, size
+              group by term having count(*) >= 2 and count(*) <= 0.95 * any_value(n)""",
+    "val": "select prompt_id, term, (1e0 + ln(tf)) * idf as v from tfs join voc using (term)",
+    "len": "select prompt_id, sqrt(sum(v * v)) as l from val group by prompt_id",
+}
+
+
+@register("ml_vocabulary", with_views("select term, df, round(idf, 9) as idf from voc", *F4V, extra=TERM_CTES))
+def q_ml_vocabulary(spark, d):
+    docs = f4_prompts(spark, d)
+    return ML.vocabulary(ML.terms(docs), docs.count()).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@register("ml_tfidf", with_views("select prompt_id, term, round(v / l, 9) as value from val join len using (prompt_id)", *F4V, extra=TERM_CTES))
+def q_ml_tfidf(spark, d):
+    docs = f4_prompts(spark, d)
+    found = ML.terms(docs)
+    return ML.tfidf(found, ML.vocabulary(found, docs.count())).select("prompt_id", "term", F.round("value", 9).alias("value"))
+
+
+@register("classify_ml_declared", with_views("""
+select prompt_id, json_extract_string(source_metadata, '$.intended_tag') as tag from f4_prompts
+where (prompt_id // 8) % 2 = 1 and json_extract_string(source_metadata, '$.intended_tag') is not null""", *F4V))
+def q_ml_declared(spark, d):
+    """Declared tags of half the prompts are learned, those of the other half predicted: the texts tell the tags apart."""
+    docs = f4_prompts(spark, d).withColumn("tag", F.get_json_object("source_metadata", "$.intended_tag")).where("tag is not null")
+    models = ML.train(docs.where("(prompt_id div 8) % 2 = 0").select("prompt_id", "tag", "content"))
+    return ML.predict(docs.where("(prompt_id div 8) % 2 = 1"), models, threshold=0.5).select("prompt_id", "tag")
