@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from evalspark.functions.jsontext import json_value, let
 from evalspark.functions.text import estimate_cost
 
-MAX_FANOUT_MODELS = 10000
+#: models that one row of the fan-out's table of model blocks holds, about
+FANOUT_BLOCK = 1000
 
 
 def fanout_work(prompts: DataFrame, models: DataFrame, runs: DataFrame | None = None,
@@ -24,22 +25,22 @@ def fanout_work(prompts: DataFrame, models: DataFrame, runs: DataFrame | None =
     """(prompt_id, model) work items: every selected prompt x every selected
     model, minus pairs that already have a run unless ``skip_existing=False``.
 
-    The model list is a dimension: its names are read once (checked against
-    ``MAX_FANOUT_MODELS``) and attached to each prompt row with ``explode`` —
-    a per-row generator, so the large prompt side is never shuffled for it.
+    The models are packed into blocks of names, one row each; a prompt row is repeated
+    once per block and opened into the block's names. No model name comes to the driver,
+    only their number. The blocks are a table that Spark broadcasts where it has
+    measured it to be small; beyond that it joins on the block, splitting the partitions
+    that all prompts of a block make.
     """
     p = prompts.select("prompt_id")
     if prompt_ids is not None:
         p = p.filter(F.col("prompt_id").isin(list(prompt_ids)))
-    m = models.select("name")
+    m = models.select("name").where("name is not null").distinct()
     if model_names is not None:
         m = m.filter(F.col("name").isin(list(model_names)))
-    names = [r.name for r in m.distinct().orderBy("name").limit(MAX_FANOUT_MODELS + 1).collect()]
-    if len(names) > MAX_FANOUT_MODELS:
-        raise ValueError(f"more than {MAX_FANOUT_MODELS} models selected; pass model_names")
-    if not names:
-        return p.select("prompt_id", F.lit(None).cast("string").alias("model")).limit(0)
-    work = p.select("prompt_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("model"))
+    n = max(1, -(-m.count() // FANOUT_BLOCK))
+    blocks = m.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list("name").alias("names"))
+    each = p.select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    work = each.join(blocks, "block").select("prompt_id", F.explode("names").alias("model"))
     if skip_existing and runs is not None:
         work = work.join(runs.select("prompt_id", "model").distinct(), ["prompt_id", "model"], "left_anti")
     return work

@@ -86,3 +86,15 @@ def test_chat_payloads_and_replay(spark):
     existing = spark.createDataFrame([("r", "p1", "m")], "run_id string, prompt_id string, model string")
     assert RU.fanout_work(prompts, models, existing).count() == 6
     assert RU.fanout_work(prompts, models, existing, skip_existing=False).count() == 7
+
+
+def test_fanout_of_more_models_than_a_block(spark):
+    models = spark.range(20_000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("name")).unionByName(
+        spark.createDataFrame([("m1",), (None,)], "name string"))
+    prompts = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "prompt_id string")
+    runs = models.where("name is not null").limit(0).select(F.lit("p1").alias("prompt_id"), F.col("name").alias("model")).unionByName(
+        spark.createDataFrame([("p2", "m7"), ("p2", "m7"), ("p9", "m1")], "prompt_id string, model string"))
+    work = RU.fanout_work(prompts, models, runs)
+    assert work.count() == work.distinct().count() == 60_000 - 1
+    assert RU.fanout_work(prompts, models, None, model_names=["m5", "m6"]).count() == 6
+    assert RU.fanout_work(prompts, models.limit(0)).count() == 0
