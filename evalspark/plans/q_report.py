@@ -174,7 +174,7 @@ def q_models_by_size(spark, d):
     return A.models_by_size(F2(spark, d).models)
 
 
-@register("quality_checks", with_views(f"""
+CHECKS_SQL = f"""
 select * from (
 with c as (select (select count(*) from ({TAXONOMY_SQL})) as t, (select count(*) from f2_prompts) as p,
                   (select count(distinct prompt_id) from f2_prompt_tags) as g,
@@ -193,12 +193,23 @@ union all select 'classification',
                  case when p > 0 then g / p end from c
 union all select 'evaluations', case when e = 0 then 'warn' else 'ok' end,
                  case when e = 0 then 'no evaluations yet' else cast(e as varchar) || ' evaluations recorded' end, e from c
-) q""", *F2V))
+) q"""
+
+
+@register("quality_checks", with_views(CHECKS_SQL, *F2V))
 def q_quality(spark, d):
     f = F2(spark, d)
     return RP.quality_checks(f.prompts, f.prompt_tags, f.models, f.evaluations, S.default_taxonomy(spark))
 
 
+@register("quality_check_totals", with_views(f"""
+select count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'warn') as warn,
+       count(*) filter (where status = 'fail') as fail from ({CHECKS_SQL})""", *F2V))
+def q_quality_totals(spark, d):
+    return RP.summarize_checks(q_quality(spark, d))
+
+
+
 @register("taxonomy_seed", with_views(f"""
 select * from existing
 union all

@@ -303,6 +303,15 @@ def q_refusal(spark, d):
     return B.refusal_rate(f4_runs(spark, d), new, "no_refusal")
 
 
+@register("refused_prompts", with_views("""
+select r.model, r.prompt_id, substring(p.content, 1, 65) as preview
+from new n join f4_runs r on r.run_id = n.run_id join f4_prompts p on p.prompt_id = r.prompt_id
+where n.rubric = 'no_refusal' and not coalesce(n.passed, false)""", *F4V, extra=_score_sql("append")))
+def q_refused_prompts(spark, d):
+    new = _score(spark, d, "append")["new"]
+    return B.refused_prompts(f4_runs(spark, d), f4_prompts(spark, d), new, "no_refusal")
+
+
 @register("bench_breakdown", with_views("""
 select category, model, n_runs, pass_count, avg_score, pass_rate, avg_cost_usd,
        case when avg_cost_usd is not null and pass_rate > 0 then avg_cost_usd / pass_rate end as cost_per_pass,

@@ -71,3 +71,10 @@ def test_freshness_and_quality(spark):
     assert checks["taxonomy"].detail == "14 tags seeded" and checks["evaluations"].status == "ok"
     s = RP.summarize_checks(RP.quality_checks(prompts, tags, models, ev, default_taxonomy(spark))).first()
     assert (s.ok, s.warn, s.fail) == (4, 2, 0)
+
+
+def test_check_totals_of_an_empty_store(spark):
+    """Without rows every data check but the schema warns."""
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    checks = RP.quality_checks(none("prompt_id long"), none("prompt_id long, tag string"), none("name string"), none("run_id string"), default_taxonomy(spark))
+    assert tuple(RP.summarize_checks(checks).first()) == (2, 4, 0)
