@@ -22,7 +22,7 @@ def make(rnd):
     vocab = [f"{a}{b}" for a in ("ra", "to", "li", "mun", "ke", "so") for b in ("", "ta", "ro", "min", "de", "la", "go", "va")]
     text = lambda n: " ".join(rnd.choices(vocab, k=n))
     items = [(i, text(30)) for i in range(5)]
-    passage, short = text(110), text(52)
+    passage, short = text(110), text(60)
     docs, labels, kinds = [], [], {}
     for i in range(260):
         t, kind = text(rnd.randint(60, 400)), "clean"
