@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes (50 short words) that occur again are cut out of the texts."""
+    """Passages of 250 bytes (50 words of four letters) that occur again are cut out of the texts."""
     return suffixes.without_repeats(spark, docs, sf_dir)
 
 
