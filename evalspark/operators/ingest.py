@@ -34,20 +34,16 @@ def first_per_hash(raw: DataFrame, order: str = "order") -> DataFrame:
              .select("content_hash", "_first.*"))
 
 
-def dedup_prompts(raw: DataFrame, stored: DataFrame | None, ingested_at=None,
-                  token_count=None, order: str = "order") -> dict[str, DataFrame]:
-    """New prompt rows plus counters (inserted, duplicates, skipped).
+def prompt_rows(firsts: DataFrame, ingested_at=None, token_count=None) -> DataFrame:
+    """Raw rows, one per hash, as rows of the prompts table.
 
     Stored content is normalized unless it has a newline; ``char_count`` is the
     length of the raw text; ``token_count`` is an optional column function.
     """
-    firsts = first_per_hash(raw, order)
-    if stored is not None:
-        firsts = firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
     ts = (F.current_timestamp() if ingested_at is None
           else F.to_timestamp(F.lit(str(ingested_at))))
     tok = token_count(F.col("content")) if token_count is not None else F.lit(None).cast("bigint")
-    new = firsts.select(
+    return firsts.select(
         F.col("content_hash").alias("prompt_id"),
         stored_content(F.col("content")).alias("content"),
         "content_hash",
@@ -57,6 +53,15 @@ def dedup_prompts(raw: DataFrame, stored: DataFrame | None, ingested_at=None,
         F.col("metadata").alias("source_metadata"),
         "created_at",
         ts.alias("ingested_at"))
+
+
+def dedup_prompts(raw: DataFrame, stored: DataFrame | None, ingested_at=None,
+                  token_count=None, order: str = "order") -> dict[str, DataFrame]:
+    """New prompt rows plus counters (inserted, duplicates, skipped)."""
+    firsts = first_per_hash(raw, order)
+    if stored is not None:
+        firsts = firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
+    new = prompt_rows(firsts, ingested_at, token_count)
     return {"new": new, "counters": ingest_counters(raw, new)}
 
 

@@ -3,9 +3,10 @@
 All four are restartable from their checkpoint and idempotent per
 micro-batch, so a lost executor or a retried batch never double-writes:
 
-* ``stream_ingest_dedup`` — new raw prompts are reduced to one row per hash
-  inside the batch and anti-joined against the store before appending; a
-  retried batch finds its own rows already stored and writes nothing.
+* ``stream_ingest_dedup`` — hashes seen so far are keyed state (RocksDB), fed
+  by the raw prompts and by the store itself, so a batch costs what it brings,
+  not what is stored. Only the first batch after a start, which may be a retry,
+  is held against the store's hashes.
 * ``stream_score`` — new runs are judged as they arrive; rows already scored
   for (run_id, rubric, rubric_hash) are skipped.
 * ``stream_agg_tag_model`` — evaluations stream joined with static tag and
@@ -20,10 +21,14 @@ micro-batch, so a lost executor or a retried batch never double-writes:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalspark.operators import aggregate as A
 from evalspark.operators import ingest as IG
@@ -55,16 +60,91 @@ def run_available_now(stream: DataFrame, sink: Callable[[DataFrame, int], None],
 
 # ---------------------------------------------------------------- ingest
 
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _first_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of each hash the row of smallest order (NULL last, then as they came); a stored hash stands for all its rows."""
+    return (pdf.sort_values(["_stored", "order"], ascending=[False, True], na_position="last", kind="stable")
+               .drop_duplicates("content_hash"))
+
+
+def _combine(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in pdfs:
+        yield _first_rows(pdf)
+
+
+def _unseen(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first row of a hash that neither an earlier batch nor the store holds."""
+    best = None
+    for pdf in pdfs:
+        best = _first_rows(pdf if best is None else pd.concat([best, pdf]))
+    if state.exists:
+        return
+    state.update((True,))
+    if not best["_stored"].iloc[0]:
+        yield best
+
+
 def stream_ingest_dedup(raw_stream: DataFrame, store_dir: str, checkpoint: str,
                         ingested_at=None) -> None:
-    """Append first-seen prompts (by content hash) to the Parquet store at
-    ``store_dir``; ``raw_stream`` has the raw-record columns and ``order``."""
+    """Append first-seen prompts (by content hash) to the Parquet store at ``store_dir``.
+
+    ``raw_stream`` has the raw-record columns and ``order``, a number, text or
+    time; blank and NULL contents are left out. Of equal hashes the one of an
+    earlier micro-batch stays, in one micro-batch the one of smallest order.
+    Seen hashes are state, one key each without an expiry, since a prompt may come
+    again at any time; nothing is ever too late. The store's hashes enter the state
+    as a second stream: all of them with the first batch of a checkpoint, later
+    those that other jobs add. A text copied within a batch is reduced in each
+    Arrow batch before the shuffle. ``spark.sql.shuffle.partitions`` at the first
+    start fixes the partitions of the state for the checkpoint's life.
+
+    A batch can be a retry only as the first after a start; that one is held
+    against the store, so what an attempt had written is not written again.
+    """
+    spark = raw_stream.sparkSession
+    kind = raw_stream.schema["order"].dataType
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        raise ValueError(f"order must be a number, text or time, not {kind.simpleString()}")
+    cols = [*IG.RAW_COLS, "order"]
+    rows = IG.hashed(raw_stream.select(*cols)).withColumn("_stored", F.lit(False))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store_dir)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(root)
+    stored = (spark.readStream.schema("content_hash string").parquet(store_dir)
+              .select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols],
+                      "content_hash", F.lit(True).alias("_stored")))
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    unseen = (rows.unionByName(stored).mapInPandas(_combine, shape)
+              .groupBy("content_hash")
+              .applyInPandasWithState(_unseen, shape, "seen boolean", "append", GroupStateTimeout.NoTimeout))
+    started = []
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(store_dir).select("content_hash") if _exists(spark, store_dir) else None
-        new = IG.dedup_prompts(batch, stored, ingested_at=ingested_at)["new"]
-        new.write.mode("append").parquet(store_dir)
-    run_available_now(raw_stream, sink, checkpoint)
+        if not started:
+            known = spark.read.schema("content_hash string").parquet(store_dir)
+            batch = batch.join(known, "content_hash", "left_anti")
+        IG.prompt_rows(batch, ingested_at).write.mode("append").parquet(store_dir)
+        started.append(batch_id)
+    with _settings(spark, ROCKSDB):
+        run_available_now(unseen, sink, checkpoint)
 
 
 # ---------------------------------------------------------------- scoring
