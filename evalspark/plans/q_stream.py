@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.plans.fixtures import f2_models, f2_prompt_tags, with_views
+from evalspark.plans.fixtures import f2_models, f2_prompt_tags, table, with_views
 from evalspark.plans.q_ingest import DEDUP_CTES
 from evalspark.plans.q_score import NO_REFUSAL, SCOPED, _NR, _score_sql, f4_prompt_tags
 from evalspark.plans.registry import register
@@ -29,6 +29,25 @@ def q_stream_ingest(spark, d):
     return out.join(pre, "content_hash", "left_anti")
 
 
+@register("stream_ingest_restart", with_views("""
+select f.h as content_hash, cast(f.first_doc as varchar) as source_ref
+from (select h, min(doc_id) as first_doc from h group by h) f where f.h not in (select h from stored)""", extra=DEDUP_CTES))
+def q_stream_ingest_restart(spark, d):
+    """German documents first; then, on the same checkpoint and so from its state, all documents as they are."""
+    docs = S.source_table(spark, d, "documents")
+    store, ckpt, arrived = (S.scratch(spark, f"stream-{x}") for x in ("store", "ckpt", "arrived"))
+    raw = (spark.read.schema(docs.schema).parquet(f"{d.rstrip('/')}/documents.parquet")
+           .select(F.col("text").alias("content"), F.lit("documents").alias("source"),
+                   F.col("doc_id").cast("string").alias("source_ref"), F.lit(None).cast("timestamp").alias("created_at"),
+                   F.to_json(F.struct("lang", "source")).alias("metadata"), F.col("doc_id").alias("order"), "lang"))
+    for load, part in enumerate((raw.filter(F.col("lang") == "de"), raw), 1):
+        part.drop("lang").write.mode("append").parquet(arrived)
+        S.stream_ingest_dedup(spark.readStream.schema(raw.drop("lang").schema).parquet(arrived), store, ckpt,
+                              ingested_at=f"2024-06-0{load} 00:00:00")
+    return (spark.read.parquet(store).filter(F.col("ingested_at") == F.to_timestamp(F.lit("2024-06-02 00:00:00")))
+                 .select("content_hash", "source_ref"))
+
+
 @register("stream_score", with_views(
     f"select run_id, '{NO_REFUSAL.name}' as rubric, {_NR['score']} as score, {_NR['passed']} as passed from f4_runs "
     f"where trim(response) <> ''", "f4_prompts", "f4_runs"))
@@ -64,30 +83,57 @@ from (select l_orderkey as prompt_id, l_suppkey as model_key, round(l_discount *
              case when l_tax = 0 then null else floor(l_extendedprice) / 1048576e0 end as cost_usd,
              cast(l_quantity * 100 as int) as latency_ms
       from lineitem where l_linestatus = 'F') s
-join (select distinct prompt_id, tag from f2_prompt_tags) pt on pt.prompt_id = s.prompt_id
+join (select distinct prompt_id, tag from f2_prompt_tags {where}) pt on pt.prompt_id = s.prompt_id
 join f2_models m on m.model_key = s.model_key
 group by pt.tag, m.name, m.size_params_b, m.context_window"""
+AGG_COLS = ["tag", "model", "size_params_b", "context_window", "n_evals", "n_passed", "n_passed_known", "avg_score",
+            "avg_cost_usd", "avg_latency_ms"]
 
 
-@register("stream_agg_tag_model", with_views(STREAM_AGG_SQL, "f2_prompt_tags", "f2_models"))
-def q_stream_agg(spark, d):
-    out = S.scratch(spark, "stream-agg")
-    li = S.source_table(spark, d, "lineitem")
+def _scored(spark, d, li):
+    """Line items of status F as scored runs."""
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    models = f2_models(spark, d)
     disc = F.round(F.col("l_discount") * 100)
-    scored = (li.filter(F.col("l_linestatus") == "F")
-                .select(F.concat_ws("-", *[F.col(c).cast("string") for c in keys]).alias("run_id"),
-                        F.col("l_orderkey").alias("prompt_id"), F.col("l_suppkey").alias("model_key"),
-                        (disc / F.lit(16.0)).alias("score"),
-                        F.when(F.col("l_returnflag") == "N", F.lit(None).cast("boolean")).otherwise(disc >= 3).alias("passed"),
-                        F.when(F.col("l_tax") == 0, F.lit(None).cast("double"))
-                         .otherwise(F.floor("l_extendedprice") / F.lit(1048576.0)).alias("cost_usd"),
-                        (F.col("l_quantity") * 100).cast("int").alias("latency_ms"))
-                .join(models.select("model_key", F.col("name").alias("model")), "model_key"))
-    S.stream_agg_tag_model(scored, f2_prompt_tags(spark, d), models, out, S.scratch(spark, "ckpt"))
-    return S.latest_version(spark, out).select("tag", "model", "size_params_b", "context_window", "n_evals", "n_passed",
-                                          "n_passed_known", "avg_score", "avg_cost_usd", "avg_latency_ms")
+    return (li.filter(F.col("l_linestatus") == "F")
+              .select(F.concat_ws("-", *[F.col(c).cast("string") for c in keys]).alias("run_id"),
+                      F.col("l_orderkey").alias("prompt_id"), F.col("l_suppkey").alias("model_key"),
+                      (disc / F.lit(16.0)).alias("score"),
+                      F.when(F.col("l_returnflag") == "N", F.lit(None).cast("boolean")).otherwise(disc >= 3).alias("passed"),
+                      F.when(F.col("l_tax") == 0, F.lit(None).cast("double"))
+                       .otherwise(F.floor("l_extendedprice") / F.lit(1048576.0)).alias("cost_usd"),
+                      (F.col("l_quantity") * 100).cast("int").alias("latency_ms"), "l_linenumber")
+              .join(f2_models(spark, d).select("model_key", F.col("name").alias("model")), "model_key"))
+
+
+@register("stream_agg_tag_model", with_views(STREAM_AGG_SQL.format(where=""), "f2_prompt_tags", "f2_models"))
+def q_stream_agg(spark, d):
+    out = S.scratch(spark, "stream-agg")
+    scored = _scored(spark, d, S.source_table(spark, d, "lineitem"))
+    S.stream_agg_tag_model(scored, f2_prompt_tags(spark, d), f2_models(spark, d), out, S.scratch(spark, "ckpt"))
+    return S.latest_version(spark, out).select(*AGG_COLS)
+
+
+@register("stream_tag_changes", with_views(STREAM_AGG_SQL.format(
+    where="where not (classifier = 'bench' and prompt_id % 4 in (0, 1))"), "f2_prompt_tags", "f2_models"))
+def q_stream_tag_changes(spark, d):
+    """Runs and tags in two loads on one checkpoint: the second brings the later line items, the model's tags, and
+    withdraws half of the bench tags, so earlier sums are corrected."""
+    out, ckpt, runs, tags = (S.scratch(spark, f"stream-{x}") for x in ("changes", "ckpt", "runs", "tags"))
+    scored = _scored(spark, d, table(spark, d, "lineitem")).drop("model_key", "run_id")
+    given = f2_prompt_tags(spark, d).select("prompt_id", "tag", "classifier", F.lit(True).alias("present"),
+                                            F.lit(1).cast("bigint").alias("order"))
+    late = F.col("classifier") == "ml"
+    withdrawn = (given.filter((F.col("classifier") == "bench") & (F.col("prompt_id") % 4).isin(0, 1))
+                      .withColumn("present", F.lit(False)).withColumn("order", F.lit(2).cast("bigint")))
+    loads = [(scored.filter("l_linenumber <= 3"), given.filter(~late)),
+             (scored.filter("l_linenumber > 3"), given.filter(late).unionByName(withdrawn))]
+    for r, t in loads:
+        r.drop("l_linenumber").write.mode("append").parquet(runs)
+        t.write.mode("append").parquet(tags)
+        S.stream_tag_changes(spark.readStream.schema(r.drop("l_linenumber").schema).parquet(runs),
+                             spark.readStream.schema(t.schema).parquet(tags), out, ckpt)
+    S.compact_changes(spark, out)
+    return S.tag_model_now(spark, out, f2_models(spark, d)).select(*AGG_COLS)
 
 
 @register("stream_run_health", with_views("""

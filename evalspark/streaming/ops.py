@@ -12,6 +12,9 @@ micro-batch, so a lost executor or a retried batch never double-writes:
 * ``stream_agg_tag_model`` — evaluations stream joined with static tag and
   model tables, aggregated per (tag, model) with partial aggregation; each
   batch overwrites the small result table.
+* ``stream_tag_changes`` — the same aggregate where tags arrive as a stream of
+  their own and may be withdrawn: a prompt's tags and partial sums are keyed
+  state, every batch writes signed changes, compaction folds them.
 * ``stream_run_health`` — event-time daily windows per model with a
   watermark bounding state; updated rows are appended with their batch id
   and readers take the latest row per key.
@@ -190,14 +193,151 @@ def stream_agg_tag_model(scored_stream: DataFrame, prompt_tags: DataFrame, model
 
 def latest_version(spark: SparkSession, out_dir: str) -> DataFrame:
     """The last complete version that a versioned sink wrote."""
+    done = _complete(spark, out_dir, "version")
+    if not done:
+        raise ValueError(f"no complete version under {out_dir}")
+    return spark.read.parquet(done[max(done)])
+
+
+COUNTS = ["_n", "_np", "_nk", "_ns", "_nc", "_sl", "_nl"]
+SUMS = ["_ss", "_sc"]
+PARTIALS = COUNTS + SUMS
+_TAG_ROW = ["tag", "classifier", "present", "order"]
+
+
+def _condense(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs summed per prompt and model, tag rows as they are: a prompt with very many runs leaves a few rows a batch."""
+    for pdf in pdfs:
+        runs = pdf["model"].notna()
+        yield (pdf[runs].groupby(["prompt_id", "model"], as_index=False, sort=False)[PARTIALS].sum()
+               .assign(**dict.fromkeys(_TAG_ROW))[list(pdf.columns)])
+        yield pdf[~runs]
+
+
+def _tag_changes(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Signed partial sums per (tag, model) that a batch's rows of one prompt cause."""
+    given, models, counts, sums = state.get if state.exists else ([], [], [], [])
+    given = {tuple(x) for x in given}
+    old = {m: list(c) + list(s) for m, c, s in zip(models, counts, sums)}
+    before = {t for t, _ in given}
+    fresh: dict[str, list] = {}
+    last: dict[tuple, tuple] = {}
+    for pdf in pdfs:
+        runs = pdf["model"].notna()
+        for m, *v in pdf.loc[runs, ["model", *PARTIALS]].itertuples(index=False):
+            fresh[m] = [a + b for a, b in zip(fresh[m], v)] if m in fresh else v
+        for t, c, present, order in pdf.loc[~runs, _TAG_ROW].itertuples(index=False):
+            if (t, c) not in last or last[t, c] < (order, present):
+                last[t, c] = (order, present)
+    for tc, (_, present) in last.items():
+        (given.add if present else given.discard)(tc)
+    now = {t for t, _ in given}
+    out = [(t, m, *v) for t in now & before for m, v in fresh.items()]
+    total = dict(old)
+    for m, v in fresh.items():
+        total[m] = [a + b for a, b in zip(total[m], v)] if m in total else v
+    out += [(t, m, *v) for t in now - before for m, v in total.items()]
+    out += [(t, m, *[-x for x in v]) for t in before - now for m, v in old.items()]
+    k = len(COUNTS)
+    state.update(([list(x) for x in sorted(given)], list(total), [[int(x) for x in v[:k]] for v in total.values()],
+                  [[float(x) for x in v[k:]] for v in total.values()]))
+    if out:
+        yield pd.DataFrame(out, columns=["tag", "model", *PARTIALS])
+
+
+def stream_tag_changes(scored_stream: DataFrame, tag_stream: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Changes of the (tag, model) aggregate while runs and tags both arrive.
+
+    ``scored_stream`` has prompt_id, model, score, passed, cost_usd, latency_ms, and
+    may have ``sign``: -1 takes a run counted earlier out again (a score that is
+    replaced). ``tag_stream`` has prompt_id, tag, classifier, present, order (a
+    bigint): a prompt carries a tag while any classifier gives it; ``present`` false
+    withdraws a classifier's tag, and of one batch's rows the one of largest order
+    holds (among equals ``present`` true). A tag given later adds the prompt's earlier runs, a tag withdrawn takes
+    them out. Rows with NULL prompt_id, or with NULL model or tag, count nowhere.
+
+    State per prompt: its tags and one set of sums a model. Every batch writes its
+    changes to a folder of its own, so a retry rewrites it; ``out_dir`` belongs to
+    one checkpoint. ``tag_model_now`` reads the sums, ``compact_changes`` folds the folders.
+    """
+    spark = scored_stream.sparkSession
+    sign = F.coalesce(F.col("sign").cast("bigint"), F.lit(1)) if "sign" in scored_stream.columns else F.lit(1).cast("bigint")
+    known = lambda c: F.when(F.col(c).isNotNull(), sign).otherwise(0).cast("bigint")
+    total = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) * sign
+    runs = scored_stream.filter("prompt_id is not null and model is not null").select(
+        "prompt_id", "model", sign.alias("_n"), F.when(F.col("passed"), sign).otherwise(0).cast("bigint").alias("_np"),
+        known("passed").alias("_nk"), known("score").alias("_ns"), known("cost_usd").alias("_nc"),
+        total("latency_ms", "bigint").alias("_sl"), known("latency_ms").alias("_nl"),
+        total("score", "double").alias("_ss"), total("cost_usd", "double").alias("_sc"))
+    tags = tag_stream.filter("prompt_id is not null and tag is not null").select(
+        "prompt_id", "tag", F.coalesce("classifier", F.lit("")).alias("classifier"),
+        F.coalesce("present", F.lit(True)).alias("present"), F.coalesce("order", F.lit(0)).cast("bigint").alias("order"))
+    rows = (runs.select("*", *[F.lit(None).cast(tags.schema[c].dataType).alias(c) for c in _TAG_ROW])
+                .unionByName(tags.select("*", F.lit(None).cast("string").alias("model"),
+                                         *[F.lit(0).cast("double" if c in SUMS else "bigint").alias(c) for c in PARTIALS])))
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    changes = (rows.mapInPandas(_condense, shape).groupBy("prompt_id").applyInPandasWithState(
+        _tag_changes, "tag string, model string, " + ", ".join(f"{c} {'double' if c in SUMS else 'bigint'}" for c in PARTIALS),
+        "tags array<array<string>>, models array<string>, counts array<array<bigint>>, sums array<array<double>>",
+        "update", GroupStateTimeout.NoTimeout))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _folded(batch).write.mode("overwrite").parquet(f"{out_dir}/delta={batch_id}")
+    with _settings(spark, ROCKSDB):
+        run_available_now(changes, sink, checkpoint, output_mode="update")
+
+
+def _folded(changes: DataFrame) -> DataFrame:
+    """Changes summed per tag and model; what cancels out goes."""
+    return (changes.groupBy("tag", "model").agg(*[F.sum(c).alias(c) for c in PARTIALS])
+                   .filter(" or ".join(f"{c} <> 0" for c in PARTIALS)))
+
+
+def _complete(spark: SparkSession, out_dir: str, kind: str) -> dict[int, str]:
+    """Numbers and paths of the folders ``kind=<number>`` that were written to the end."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(out_dir)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
-    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    if not done:
-        raise ValueError(f"no complete version under {out_dir}")
-    return spark.read.parquet(max(done, key=lambda p: int(p.getName().split("=")[1])).toString())
+    paths = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return {int(p.getName().split("=")[1]): p.toString() for p in paths
+            if p.getName().startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
+def _changes_now(spark: SparkSession, out_dir: str) -> tuple[DataFrame, int]:
+    """All changes that count (the last base and the deltas after it) and the last batch among them."""
+    bases, deltas = _complete(spark, out_dir, "base"), _complete(spark, out_dir, "delta")
+    base = max(bases, default=-1)
+    after = {n: p for n, p in deltas.items() if n > base}
+    paths = ([bases[base]] if bases else []) + list(after.values())
+    if not paths:
+        raise ValueError(f"no complete batch under {out_dir}")
+    return spark.read.parquet(*paths), max(after, default=base)
+
+
+def tag_model_now(spark: SparkSession, out_dir: str, models: DataFrame) -> DataFrame:
+    """The (tag, model) aggregate after the last complete batch."""
+    m = models.select(F.col("name").alias("model"), "size_params_b", "context_window")
+    now = _folded(_changes_now(spark, out_dir)[0]).filter("_n <> 0")
+    return A.with_derived(A._finish(now.join(m, "model"), ["tag", "model", "size_params_b", "context_window"]))
+
+
+def compact_changes(spark: SparkSession, out_dir: str) -> int:
+    """Fold the changes so far into one base folder; returns its last batch.
+
+    Readers change over when the base is complete. What the base before it had
+    folded is deleted only now, so a reader that began on that base still ends."""
+    changes, last = _changes_now(spark, out_dir)
+    done = _complete(spark, out_dir, "base")
+    if last in done:
+        return last
+    _folded(changes).write.mode("overwrite").parquet(f"{out_dir}/base={last}")
+    jvm = spark.sparkContext._jvm
+    before = max(done, default=-1)
+    stale = [p for n, p in _complete(spark, out_dir, "delta").items() if n <= before] + [p for n, p in done.items() if n < before]
+    for p in stale:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return last
 
 
 def stream_run_health(runs_stream: DataFrame, out_dir: str, checkpoint: str,
@@ -236,5 +376,6 @@ def source_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(path)
 
 
-__all__ = ["stream_ingest_dedup", "stream_score", "stream_agg_tag_model", "stream_run_health",
+__all__ = ["stream_ingest_dedup", "stream_score", "stream_agg_tag_model", "stream_tag_changes", "tag_model_now",
+           "compact_changes", "stream_run_health", "latest_version",
            "latest_health", "run_available_now", "scratch", "source_table"]
