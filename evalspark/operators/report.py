@@ -122,8 +122,14 @@ def _as_ts(as_of) -> F.Column:
 
 def rubric_freshness(evaluations: DataFrame, as_of, staleness_days: float = 30.0) -> DataFrame:
     """Per rubric: count, last scored time, age in days at ``as_of``, stale flag,
-    and the scored_by breakdown (largest first). ``as_of`` replaces now() so
+    and the scored_by breakdown (largest first) as text. ``as_of`` replaces now() so
     the result is reproducible."""
+    return freshness_rows(evaluations, as_of, staleness_days).withColumn("scored_by_breakdown", F.array_join(F.transform(
+        "scored_by_breakdown", lambda s: F.concat(s["scored_by"], F.lit(":"), s["count"].cast("string"))), ","))
+
+
+def freshness_rows(evaluations: DataFrame, as_of, staleness_days: float = 30.0) -> DataFrame:
+    """``rubric_freshness`` with the breakdown as an array of (scored_by, count)."""
     by = (evaluations.groupBy("rubric", "scored_by").agg(F.count(F.lit(1)).alias("cnt"))
           .groupBy("rubric")
           .agg(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), "scored_by", "cnt")))
@@ -136,8 +142,8 @@ def rubric_freshness(evaluations: DataFrame, as_of, staleness_days: float = 30.0
     return (base.join(by, "rubric")
             .withColumn("age_days", age)
             .withColumn("stale", F.coalesce(F.col("age_days") > staleness_days, F.lit(False)))
-            .withColumn("scored_by_breakdown", F.array_join(F.transform(
-                "_b", lambda s: F.concat(s["scored_by"], F.lit(":"), s["cnt"].cast("string"))), ","))
+            .withColumn("scored_by_breakdown", F.transform(
+                "_b", lambda s: F.struct(s["scored_by"].alias("scored_by"), s["cnt"].alias("count"))))
             .select("rubric", "n_evals", "last_scored_at", "age_days", "stale", "scored_by_breakdown"))
 
 
@@ -198,33 +204,54 @@ def build_report(prompts, prompt_tags, models, runs, evaluations, agg, as_of,
         "evals_by_rubric": A.evals_by_rubric(evaluations),
         "scorecards": scorecards(act, agg, threshold, min_samples, taxonomy),
         "gaps": coverage_gaps(act, agg, threshold, min_samples),
-        "rubric_freshness": rubric_freshness(evaluations, as_of, staleness_days),
+        "rubric_freshness": freshness_rows(evaluations, as_of, staleness_days),
     }
 
 
-def report_json(sections: dict[str, DataFrame], generated_at: str) -> DataFrame:
+def _iso(c) -> F.Column:
+    """UTC time as ISO text, with microseconds where there are any."""
+    t = F.col(c).cast("timestamp")
+    utc = F.to_utc_timestamp(t, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.unix_micros(t) % 1_000_000 == 0, F.concat(whole, F.lit("+00:00"))).otherwise(
+        F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")))
+
+
+def report_json(sections: dict[str, DataFrame], generated_at: str, taxonomy: DataFrame | None = None) -> DataFrame:
     """One-row DataFrame holding the versioned JSON document.
 
+    Sources, rubrics and rubric freshness stand largest count first (ties by
+    name), scorecards and gaps by tag with the tags of ``taxonomy`` before others.
+    Unknown values are JSON nulls, their keys stay; times are ISO text in UTC.
     Every list in it is bounded by a dimension (tags, rubrics, sources), never
     by the number of prompts or runs.
     """
-    def listed(name, df):
-        cols = df.columns
-        return df.agg(F.collect_list(F.struct(*cols)).alias(name))
+    def listed(name, df, order):
+        rows = df.agg(F.array_sort(F.collect_list(F.struct(
+            *[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*[c for c in df.columns if c != "_extra"]).alias("row")))).alias("_l"))
+        return rows.select(F.transform("_l", lambda x: x["row"]).alias(name))
+
+    def by_tag(df):
+        if taxonomy is None:
+            return df.withColumn("_extra", F.lit(0))
+        t = taxonomy.select("tag").distinct().withColumn("_in", F.lit(0))
+        return df.join(t, "tag", "left").withColumn("_extra", F.coalesce("_in", F.lit(1))).drop("_in")
+
+    def counted(name, key):
+        return listed(name, sections[name].withColumnRenamed("n", "count"), [-F.col("count"), F.col(key)])
 
     h = sections["headline"]
+    fresh = sections["rubric_freshness"].withColumn("last_scored_at", _iso("last_scored_at"))
+    tag = [F.col("_extra"), F.col("tag")]
     doc = one_row(h.select(F.struct(*h.columns).alias("_h")),
-                  listed("prompts_by_source", sections["prompts_by_source"].withColumnRenamed("n", "count")),
-                  listed("evals_by_rubric", sections["evals_by_rubric"].withColumnRenamed("n", "count")),
-                  listed("scorecards", sections["scorecards"]),
-                  listed("gaps", sections["gaps"]),
-                  listed("rubric_freshness", sections["rubric_freshness"]))
+                  counted("prompts_by_source", "source"), counted("evals_by_rubric", "rubric"),
+                  listed("scorecards", by_tag(sections["scorecards"]), tag),
+                  listed("gaps", by_tag(sections["gaps"]), tag),
+                  listed("rubric_freshness", fresh, [-F.col("n_evals"), F.col("rubric")]))
     headline = F.struct(*[F.col("_h")[c].alias(c) for c in h.columns],
                         F.col("prompts_by_source"), F.col("evals_by_rubric"))
     return doc.select(F.to_json(F.struct(
         F.lit(REPORT_SCHEMA_VERSION).alias("schema_version"),
         F.lit(generated_at).alias("generated_at"),
-        headline.alias("headline"),
-        F.array_sort("scorecards").alias("scorecards"),
-        F.array_sort("gaps").alias("gaps"),
-        F.array_sort("rubric_freshness").alias("rubric_freshness"))).alias("report"))
+        headline.alias("headline"), "scorecards", "gaps", "rubric_freshness"),
+        {"ignoreNullFields": "false"}).alias("report"))

@@ -250,4 +250,71 @@ def q_build_report(spark, d):
 
 @register("report_json")
 def q_report_json(spark, d):
-    return RP.report_json(_report(spark, d), generated_at=AS_OF)
+    return RP.report_json(_report(spark, d), generated_at=AS_OF, taxonomy=S.default_taxonomy(spark))
+
+
+@register("report_fields", with_views(f"""
+select 'headline' as section, 0 as pos, cast(null as varchar) as key, cast(p as double) as a, cast(r as double) as b, c,
+       cast(m as varchar) || '|' || cast(e as varchar) || '|' || cast(x as varchar) as detail, cast(null as boolean) as flag
+from (select (select count(*) from f2_prompts) as p, (select count(*) from f2_models) as m, (select count(*) from f2_runs) as r,
+             (select count(*) from f2_evaluations) as e, (select count(*) from f2_runs where error is not null) as x,
+             (select coalesce(sum(cost_usd), 0e0) from f2_runs) as c)
+union all select 'prompts_by_source', row_number() over (order by n desc, source) - 1, source, n, null, null, null, null
+          from (select source, count(*) as n from f2_prompts group by source)
+union all select 'evals_by_rubric', row_number() over (order by n desc, rubric) - 1, rubric, n, null, null, null, null
+          from (select rubric, count(*) as n from f2_evaluations group by rubric)
+union all select 'scorecards', row_number() over (order by tag not in (select tag from ({TAXONOMY_SQL})), tag) - 1, tag, n_prompts,
+                 quality_pass_rate, cost_pick_avg_cost, concat_ws('|', quality_pick, cost_pick, balanced_pick,
+                 cast(qualifying_models as varchar)), has_qualifying from ({SCORECARD_BODY})
+union all select 'gaps', row_number() over (order by tag not in (select tag from ({TAXONOMY_SQL})), tag) - 1, tag, n_prompts,
+                 null, null, reason, null from ({GAPS_BODY})
+union all select 'rubric_freshness', row_number() over (order by b.n_evals desc, b.rubric) - 1, b.rubric, b.n_evals,
+                 (epoch_us(timestamp '{AS_OF}') - epoch_us(b.last)) / 86400e6, null,
+                 strftime(b.last, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || s.who,
+                 coalesce((epoch_us(timestamp '{AS_OF}') - epoch_us(b.last)) / 86400e6 > 30.0, false)
+          from (select rubric, count(*) as n_evals, max(created_at) as last from f2_evaluations group by rubric) b
+          join (select rubric, string_agg(scored_by || ':' || cast(n as varchar), ',' order by n desc, scored_by) as who
+                from (select rubric, scored_by, count(*) as n from f2_evaluations group by rubric, scored_by) group by rubric) s
+            on s.rubric = b.rubric""", *F2V, extra=tag_cand_ctes(0.75, 400)))
+def q_report_fields(spark, d):
+    """The report document of a strict threshold (so that there are gaps), read back by its paths in their order."""
+    f = F2(spark, d)
+    secs = RP.build_report(f.prompts, f.prompt_tags, f.models, f.runs, f.evaluations, f2_agg(spark, d), AS_OF,
+                           threshold=0.75, min_samples=400, taxonomy=S.default_taxonomy(spark))
+    doc = (RP.report_json(secs, generated_at=AS_OF, taxonomy=S.default_taxonomy(spark))
+           .select(F.parse_json("report").alias("v")))
+    lists = ("headline.prompts_by_source", "headline.evals_by_rubric", "scorecards", "gaps", "rubric_freshness")
+    none = F.lit(None)
+    paths = {"headline": (none, "n_prompts", "n_runs", "total_cost_usd", ("n_models", "n_evals", "n_runs_with_error"), none),
+             "prompts_by_source": ("source", "count", none, none, (), none),
+             "evals_by_rubric": ("rubric", "count", none, none, (), none),
+             "scorecards": ("tag", "n_prompts", "quality_pass_rate", "cost_pick_avg_cost",
+                            ("quality_pick", "cost_pick", "balanced_pick", "qualifying_models"), "has_qualifying"),
+             "gaps": ("tag", "n_prompts", none, none, ("reason",), none),
+             "rubric_freshness": ("rubric", "n_evals", "age_days", none, ("last_scored_at", "who"), "stale")}
+
+    def entries(path):
+        name = F.lit(path.split(".")[-1]).alias("section")
+        return F.transform(F.variant_get("v", f"$.{path}", "array<variant>"), lambda x, i: F.struct(name, i.alias("pos"), x.alias("x")))
+
+    head = F.struct(F.lit("headline").alias("section"), F.lit(0).alias("pos"), F.variant_get("v", "$.headline", "variant").alias("x"))
+    one = doc.select(F.explode(F.concat(F.array(head), *[entries(p) for p in lists])).alias("r"))
+
+    def at(field, kind):
+        if not isinstance(field, str):
+            return field.cast(kind)
+        if field == "who":
+            return F.array_join(F.transform(F.variant_get("r.x", "$.scored_by_breakdown", "array<struct<scored_by:string,count:bigint>>"),
+                                            lambda s: F.concat(s["scored_by"], F.lit(":"), s["count"].cast("string"))), ",")
+        return F.variant_get("r.x", f"$.{field}", kind)
+
+    def choose(pick, kind):
+        c = F.lit(None).cast(kind)
+        for name, fields in paths.items():
+            c = F.when(F.col("r.section") == name, pick(fields)).otherwise(c)
+        return c
+    detail = lambda fs: F.concat_ws("|", *[at(x, "string") for x in fs]) if fs else F.lit(None).cast("string")
+    return one.select("r.section", F.col("r.pos").cast("bigint").alias("pos"), choose(lambda x: at(x[0], "string"), "string").alias("key"),
+                      *[choose(lambda x, i=i: at(x[i], "double"), "double").alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))],
+                      choose(lambda x: detail(x[4]), "string").alias("detail"),
+                      choose(lambda x: at(x[5], "boolean"), "boolean").alias("flag"))
