@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.metrics import lower_is_better
 from evalspark.operators.aggregate import stats_by_model
+from evalspark.operators.classify import classify_heuristic, ensemble_vote
 from evalspark.schemas import DEFAULT_MIN_SAMPLES, DEFAULT_THRESHOLD
 
 
@@ -143,3 +144,45 @@ def recommend(prompts: DataFrame, prompt_tags: DataFrame, agg: DataFrame,
                     "composite_score", "pass_rate", "sample_count",
                     "avg_cost_usd", "avg_latency_ms", "size_params_b",
                     "n_candidates", "n_qualifying"))
+
+
+# fixed values: the stored sentences of the reason
+NO_HISTORY = "no historical evaluations for these tags"
+QUALIFIED = ("best composite score under weights (size={size:.2f}, cost={cost:.2f}, latency={latency:.2f}) among models "
+             "with pass_rate >= {threshold:.0%} over >= {min_samples} runs on tags ")
+FALLBACK = "no model met threshold {threshold:.0%} with >= {min_samples} samples; falling back to best available"
+
+
+def ranked_tags(predictions: DataFrame) -> DataFrame:
+    """prompt_id -> its non-unknown tags, surest first (of a tag's predictions the surest counts, ties by tag)."""
+    best = (predictions.filter((F.col("tag") != "unknown") & F.col("tag").isNotNull())
+            .groupBy("prompt_id", "tag").agg(F.max("confidence").alias("_c")))
+    return (best.groupBy("prompt_id")
+            .agg(F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("o"), F.col("tag").alias("tag")))).alias("_t"))
+            .select("prompt_id", F.transform("_t", lambda x: x["tag"]).alias("tags")))
+
+
+def route_texts(prompts: DataFrame, agg: DataFrame, text_col: str = "content", votes: DataFrame | None = None,
+                members=("heuristic",), llm_votes: DataFrame | None = None, weights: Weights | str = "size",
+                threshold: float = DEFAULT_THRESHOLD, min_samples: int = DEFAULT_MIN_SAMPLES) -> DataFrame:
+    """From prompt texts to picks: classify, vote, route, and say why.
+
+    The heuristic tagger reads ``text_col`` (of rows with ``prompt_id``); ``votes`` are
+    predictions of further classifiers (a trained tagger's, recorded ones), ``members``
+    the classifiers that vote, ``llm_votes`` join in where the members disagree. Every prompt keeps one row, also
+    with a NULL or empty text; a prompt without tags or history has a NULL model.
+    """
+    w = (weights_from(weights) if isinstance(weights, str) else weights).normalize()
+    preds = classify_heuristic(prompts, text_col)
+    if votes is not None:
+        preds = preds.unionByName(votes.select(*preds.columns))
+    tags = ranked_tags(ensemble_vote(preds, members, llm_votes)).withColumn("tagset", F.array_sort("tags"))
+    picks = pick_per_tag_set(route_candidates(agg, tags, w, threshold, min_samples))
+    named = F.concat(F.lit("["), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+    said = {"threshold": threshold, "min_samples": min_samples}
+    return (prompts.select("prompt_id").join(tags, "prompt_id", "left").join(picks, "tagset", "left")
+            .select("prompt_id", F.array_join("tags", ",").alias("tags"), "model", F.coalesce("fallback", F.lit(False)).alias("fallback"),
+                    F.when(F.col("model").isNull(), F.lit(NO_HISTORY))
+                     .when(F.col("fallback"), F.lit(FALLBACK.format(**said)))
+                     .otherwise(F.concat(F.lit(QUALIFIED.format(size=w.size, cost=w.cost, latency=w.latency, **said)), named)).alias("reason"),
+                    "composite_score", "pass_rate", "sample_count", "n_candidates", "n_qualifying"))

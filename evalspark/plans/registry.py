@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from evalspark.plans import (  # noqa: F401
-        q_core, q_report, q_score, q_ingest, q_classify, q_runs, q_store, q_stream)
+        q_core, q_report, q_score, q_ingest, q_classify, q_route, q_runs, q_store, q_stream)
