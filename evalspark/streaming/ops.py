@@ -96,13 +96,15 @@ def _combine(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _unseen(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The first row of a hash that neither an earlier batch nor the store holds."""
-    best = None
-    for pdf in pdfs:
-        best = _first_rows(pdf if best is None else pd.concat([best, pdf]))
     if state.exists:
         return
+    best = None
+    for pdf in pdfs:
+        best = pdf if best is None else pd.concat([best, pdf])
+        if len(best) > 1:                               # most hashes have one row left here
+            best = _first_rows(best)
     state.update((True,))
-    if not best["_stored"].iloc[0]:
+    if not best["_stored"].iat[0]:
         yield best
 
 
