@@ -5,8 +5,8 @@ micro-batch, so a lost executor or a retried batch never double-writes:
 
 * ``stream_ingest_dedup`` — hashes seen so far are keyed state (RocksDB), fed
   by the raw prompts and by the store itself, so a batch costs what it brings,
-  not what is stored. Only the first batch after a start, which may be a retry,
-  is held against the store's hashes.
+  not what is stored. Only a batch that an earlier attempt began is held
+  against the store's hashes.
 * ``stream_score`` — new runs are judged as they arrive; rows already scored
   for (run_id, rubric, rubric_hash) are skipped.
 * ``stream_agg_tag_model`` — evaluations stream joined with static tag and
@@ -83,6 +83,14 @@ def _settings(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _logged(spark: SparkSession, checkpoint: str, log: str) -> set[int]:
+    """Batch numbers in a log of a stream's checkpoint."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/{log}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return {int(n) for n in names if n.isdigit()}
+
+
 def _first_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of each hash the row of smallest order (NULL last, then as they came); a stored hash stands for all its rows."""
     return (pdf.sort_values(["_stored", "order"], ascending=[False, True], na_position="last", kind="stable")
@@ -122,8 +130,9 @@ def stream_ingest_dedup(raw_stream: DataFrame, store_dir: str, checkpoint: str,
     Arrow batch before the shuffle. ``spark.sql.shuffle.partitions`` at the first
     start fixes the partitions of the state for the checkpoint's life.
 
-    A batch can be a retry only as the first after a start; that one is held
-    against the store, so what an attempt had written is not written again.
+    A batch is a retry where the checkpoint has its offsets and no commit as the
+    stream starts; it is held against the store, so what an attempt had written is
+    not written again.
     """
     spark = raw_stream.sparkSession
     kind = raw_stream.schema["order"].dataType
@@ -140,14 +149,13 @@ def stream_ingest_dedup(raw_stream: DataFrame, store_dir: str, checkpoint: str,
     unseen = (rows.unionByName(stored).mapInPandas(_combine, shape)
               .groupBy("content_hash")
               .applyInPandasWithState(_unseen, shape, "seen boolean", "append", GroupStateTimeout.NoTimeout))
-    started = []
+    begun = _logged(spark, checkpoint, "offsets") - _logged(spark, checkpoint, "commits")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if not started:
+        if batch_id in begun:
             known = spark.read.schema("content_hash string").parquet(store_dir)
             batch = batch.join(known, "content_hash", "left_anti")
         IG.prompt_rows(batch, ingested_at).write.mode("append").parquet(store_dir)
-        started.append(batch_id)
     with _settings(spark, ROCKSDB):
         run_available_now(unseen, sink, checkpoint)
 
