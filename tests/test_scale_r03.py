@@ -63,3 +63,14 @@ def test_export_compressed_on_request_reads_back_the_same(spark, star, tmp_path)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     size = lambda c: sum(map(os.path.getsize, glob.glob(f"{tmp_path}/{c}/runs/part-*")))
     assert size("gzip") < size("none") / 2 and SN.verify_snapshot(spark, f"{tmp_path}/gzip").filter("not ok").count() == 0
+
+
+def test_prompt_texts_are_dealt_and_scored_once(spark, tmp_path):
+    from evalspark.plans.q_classify import heur
+    rows = [(k, f"steel plan {k}", "Brand#1", "SMALL TIN", k % 50) for k in range(64)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(
+        f"{tmp_path}/part.parquet")
+    prompts = FX.f4_prompts(spark, str(tmp_path))
+    assert prompts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and prompts.count() == 64
+    plan = heur(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("population") == 1
