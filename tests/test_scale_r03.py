@@ -74,3 +74,16 @@ def test_prompt_texts_are_dealt_and_scored_once(spark, tmp_path):
     assert prompts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and prompts.count() == 64
     plan = heur(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("population") == 1
+
+
+def test_tag_changes_cost_no_call_a_prompt_and_fold_what_they_keep(spark, monkeypatch):
+    from evalspark.streaming import ops as S
+    from test_stream_changes import Feed
+    monkeypatch.setattr(S, "KEPT_FOLDERS", 1)
+    f = Feed(spark)
+    for step in range(4):
+        f.load([(p, "ab"[p % 2], 0.5, p % 3 == 0, 0.25, 8, 1) for p in range(5)],
+               [(p, "xyz"[step % 3], "c", step != 3, step) for p in range(5)])
+        assert f.now() == f.recount()
+    assert sorted(os.listdir(f"{f.ckpt}/kept/runs")) == ["batch=3", "fold=2"]
+    assert not os.path.exists(f"{f.ckpt}/state")
