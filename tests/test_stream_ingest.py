@@ -83,3 +83,13 @@ def test_empty_stream_and_order_type(spark):
     assert spark.read.schema("content_hash string").parquet(store).count() == 0
     with pytest.raises(ValueError):
         S.stream_ingest_dedup(spark.readStream.schema(RAW).parquet(raw).withColumn("order", F.struct("order")), store, ckpt)
+
+
+def test_no_python_call_a_key_and_texts_stay_out_of_the_state(spark):
+    raw, store, ckpt = (S.scratch(spark, f"t-ingest-{x}") for x in ("raw", "store", "ckpt"))
+    _put(spark, raw, [(f"{i} " + "word " * 2000, f"r{i}", i) for i in range(200)])
+    _run(spark, raw, store, ckpt)
+    assert len(_refs(spark, store)) == 200
+    assert {r.operatorName for r in spark.read.format("state-metadata").load(ckpt).collect()} == {"dedupe"}
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(os.path.join(ckpt, "state")) for f in names]
+    assert 0 < sum(sizes) < 200_000                     # the texts are 2 MB
